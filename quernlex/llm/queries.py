@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quernlex.llm.exact import exact_dedup
+from quernlex.llm.licenses import scan_licenses
 from quernlex.llm.mixing import mix
 from quernlex.llm.tokens import token_counts
+from quernlex.llm.wumanber import contamination
 from quernlex.session import table
 
 
@@ -24,8 +26,16 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op5_token_counts, op7_mixing)}
+    return {f.__name__: f for f in (op2_exact_dedup, op5_token_counts, op7_mixing, op9_decontamination, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
