@@ -9,15 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from quernlex.llm.exact import exact_dedup
 from quernlex.llm.licenses import scan_licenses
 from quernlex.llm.mixing import mix
+from quernlex.llm.repeats import substring_dedup, suffix_array_dedup
 from quernlex.llm.tokens import token_counts
 from quernlex.llm.wumanber import contamination
 from quernlex.session import table
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array_dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), stays="largest")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
@@ -35,7 +44,16 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op5_token_counts, op7_mixing, op9_decontamination, op10_license_scan)}
+    found = (
+        op1_suffix_array_dedup,
+        op2_exact_dedup,
+        op3_substring_dedup,
+        op5_token_counts,
+        op7_mixing,
+        op9_decontamination,
+        op10_license_scan,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
