@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quernlex.llm.exact import exact_dedup
 from quernlex.llm.licenses import scan_licenses
+from quernlex.llm.minhash import near_duplicates
 from quernlex.llm.mixing import mix
 from quernlex.llm.repeats import substring_dedup, suffix_array_dedup
 from quernlex.llm.tokens import token_counts
@@ -27,6 +28,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
@@ -48,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op1_suffix_array_dedup,
         op2_exact_dedup,
         op3_substring_dedup,
+        op4_minhash_near_dedup,
         op5_token_counts,
         op7_mixing,
         op9_decontamination,
