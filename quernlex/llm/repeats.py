@@ -13,7 +13,7 @@ elsewhere at all. Neither looks at every window. First come anchors, a sparse ch
 
 Anchors are sorted by the hash of their first words and compared with their neighbours. Those
 with an equal neighbour are extended left and right to the windows around them; these
-candidates are sorted by two 64-bit hashes, and neighbours compared again, now in the order of
+candidates are sorted by 96 bits of hashes, and neighbours compared again, now in the order of
 (doc_id, start). A text has a word removed if a window over it isn't the first of its kind.
 
 Hot passages. Before either shuffle, each batch of documents sorts its own anchors (windows)
@@ -30,6 +30,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -142,7 +143,15 @@ def repeats(
     ids = F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID))
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), ids.alias("d"), F.hash(text).alias("v"), text.alias("text"))
-    by_document = rows.repartition("d", "v")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor().compress
+        for batch in batches:
+            packed = pa.array([press(t) for t in column_bytes(batch.column(3))], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], packed], ["doc_id", "d", "v", "packed"])
+
+    # Both joins read the same columns of this one exchange of the (compressed) texts.
+    by_document = rows.mapInArrow(pack, f"doc_id {id_kind}, d long, v int, packed binary").repartition("d", "v")
 
     # 1. anchors -------------------------------------------------------------------------
     def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,6 +171,8 @@ def repeats(
                 several[:-1] |= again[1:]
                 # of each kind one is sent under its key, the others already known to repeat
                 key = np.where(again, _own(key, at + lo), key)
+                order = np.argsort(at)  # in the order of the texts: neighbours compress well
+                key, at, of, several = key[order], at[order], of[order], several[order]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x) for x in (key.view(np.int64), d[lo + of], v[lo + of], (at - w.first[of]).astype(np.int32), several)],
                     ["key", "d", "v", "pos", "known"],
@@ -210,10 +221,11 @@ def repeats(
         return np.flatnonzero((np.cumsum(reach[:-1]) > 0) & w.fits(length))
 
     def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            texts = column_bytes(batch.column(2))
-            d, v = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            ats = batch.column(3).to_pylist()
+            d, v = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            ats = batch.column(4).to_pylist()
+            texts = [unpack(t) if a else b"" for t, a in zip(batch.column(3).to_pylist(), ats, strict=True)]
             for lo, hi in slices(texts, 2 << 20):
                 if not any(ats[lo:hi]):
                     continue
@@ -222,7 +234,7 @@ def repeats(
                 if not len(at):
                     continue
                 of = np.searchsorted(w.first, at, side="right") - 1
-                a, b = w.windows(length, 0, at), w.windows(length, 1, at)
+                a, b = w.windows(length, 0, at), w.windows(length, 1, at).astype(np.uint32)
                 dd, vv, pos = d[lo + of], v[lo + of], (at - w.first[of]).astype(np.int32)
                 order = np.lexsort((pos, dd, b, a))
                 a, b, dd, vv, pos = a[order], b[order], dd[order], vv[order], pos[order]
@@ -233,13 +245,15 @@ def repeats(
                 # repeated rows have equal places: they meet their kind like its first
                 others = np.bincount(np.cumsum(~again) - 1, later.astype(np.float64))[np.cumsum(~again) - 1] > 0
                 a = np.where(later, _own(a, at[order] + lo), a)
+                order = np.argsort(order)  # in the order of the texts: neighbours compress well
+                a, b, dd, vv, pos, later, others = (x[order] for x in (a, b, dd, vv, pos, later, others))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (a.view(np.int64), b.view(np.int64), dd, vv, pos, later, others)],
+                    [pa.array(x) for x in (a.view(np.int64), b.view(np.int32), dd, vv, pos, later, others)],
                     ["a", "b", "d", "v", "pos", "later", "others"],
                 )
 
-    joined = by_document.select("d", "v", "text").join(places.hint("shuffle_hash"), ["d", "v"], "left")
-    sent = joined.select("d", "v", "text", "ats").mapInArrow(window_rows, "a long, b long, d long, v int, pos int, later boolean, others boolean")
+    joined = by_document.join(places.hint("shuffle_hash"), ["d", "v"], "left")
+    sent = joined.select("doc_id", "d", "v", "packed", "ats").mapInArrow(window_rows, "a long, b int, d long, v int, pos int, later boolean, others boolean")
 
     def verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """later: an equal window starts earlier. Else, in a second list: one starts later."""
@@ -311,9 +325,10 @@ def repeats(
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            texts = column_bytes(batch.column(1))
-            later, first = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            texts = [unpack(t) for t in batch.column(3).to_pylist()]
+            later, first = batch.column(4).to_pylist(), batch.column(5).to_pylist()
             n_words, n_removed, shas, removed, n_repeated, repeated = [], [], [], [], [], []
             for lo, hi in slices(texts):
                 w = Words(texts[lo:hi], NOT_SPACE)
@@ -338,7 +353,7 @@ def repeats(
     kind = "array<struct<start: int, end: int>>"
     result = f"doc_id {id_kind}, n_words long, n_removed long, kept_sha256 string, removed {kind}" + f", n_repeated long, repeated {kind}" * elsewhere
     last = by_document.join(verdict.hint("shuffle_hash"), ["d", "v"], "left")
-    return last.select("doc_id", "text", "later", "first").mapInArrow(final, result)
+    return last.select("doc_id", "d", "v", "packed", "later", "first").mapInArrow(final, result)
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = SUBSTRING_WORDS) -> DataFrame:
