@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quernlex.llm.exact import exact_dedup
+from quernlex.llm.language import languages
 from quernlex.llm.licenses import scan_licenses
 from quernlex.llm.minhash import near_duplicates
 from quernlex.llm.mixing import mix
 from quernlex.llm.repeats import substring_dedup, suffix_array_dedup
 from quernlex.llm.tokens import token_counts
+from quernlex.llm.toxicity import toxicity
 from quernlex.llm.wumanber import contamination
 from quernlex.session import table
 
@@ -36,10 +38,18 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -55,7 +65,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op3_substring_dedup,
         op4_minhash_near_dedup,
         op5_token_counts,
+        op6_toxicity,
         op7_mixing,
+        op8_language_id,
         op9_decontamination,
         op10_license_scan,
     )
