@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +40,22 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df read back from a compressed table in the shared folder, with its lineage cut."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def released(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the exchanges of plans that nothing refers to any more."""
+    for _ in range(2):  # Python's references reach the JVM after a while
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data folder, by Spark's own reader (any file system)."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
