@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernlex.llm.words import NOT_SPACE, Words, column_bytes, mix, slices
-from quernlex.session import ship
+from quernlex.session import released, ship, written
 
 #: A perfect difference cover modulo 13: every residue is a difference of two of these.
 PERIOD, COVER = 13, (0, 1, 3, 9)
@@ -121,6 +121,14 @@ def _bytes_of(values: np.ndarray) -> bytes:
     return np.asarray(values, np.int32).tobytes()
 
 
+def positions(w: Words, lists: list) -> tuple[np.ndarray, np.ndarray]:
+    """Packed word numbers of each text as numbers in the table, and the text of each."""
+    sizes = np.fromiter((sum(map(len, x)) // 4 if x else 0 for x in lists), np.int64, len(lists))
+    of = np.repeat(np.arange(len(lists)), sizes)
+    flat = np.frombuffer(b"".join(p for x in lists if x for p in x), np.int32)
+    return flat + w.first[of], of
+
+
 def repeats(
     docs: DataFrame,
     length: int,
@@ -207,18 +215,19 @@ def repeats(
             yield out(held[1], held[2], held[3], held[4])
 
     found = sent.repartition("key").sortWithinPartitions("key").mapInArrow(equal_neighbours, "d long, v int, at binary")
-    places = found.groupBy("d", "v").agg(F.collect_list("at").alias("ats"))
+    # written down, so that the anchors' exchange isn't on disk beside that of the windows
+    places = written(found.groupBy("d", "v").agg(F.collect_list("at").alias("ats")))
+    del found, sent
+    released(docs.sparkSession)
 
     # 2. windows around anchors that repeat ----------------------------------------------
     def windows_of(w: Words, ats: list) -> np.ndarray:
         """The starts of windows that hold one of the anchors given for each text."""
-        reach = np.zeros(len(w.start) + 1, np.int32)
-        for k, lists in enumerate(ats):
-            for x in lists or ():
-                pos = np.frombuffer(x, np.int32) + w.first[k]
-                np.add.at(reach, np.maximum(pos + anchor_size - length, w.first[k]), 1)
-                np.add.at(reach, np.minimum(pos + 1, w.first[k + 1]), -1)
-        return np.flatnonzero((np.cumsum(reach[:-1]) > 0) & w.fits(length))
+        pos, of = positions(w, ats)
+        n = len(w.start) + 1
+        lo, hi = np.maximum(pos + anchor_size - length, w.first[of]), np.minimum(pos + 1, w.first[of + 1])
+        reach = np.cumsum(np.bincount(lo, minlength=n) - np.bincount(hi, minlength=n))
+        return np.flatnonzero((reach[:-1] > 0) & w.fits(length))
 
     def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -302,29 +311,31 @@ def repeats(
     verdict = judged.groupBy("d", "v").agg(F.collect_list("later").alias("later"), F.collect_list("first").alias("first"))
 
     # 3. what is left of each text ---------------------------------------------------------
-    def spans(mask: np.ndarray, first: np.ndarray) -> list[list[dict]]:
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+    def spans(mask: np.ndarray, w: Words) -> pa.Array:
         """Runs of True for each text, as word numbers in it."""
-        out = []
-        for k in range(len(first) - 1):
-            lo, hi = first[k], first[k + 1]
-            if not mask[lo:hi].any():
-                out.append([])
-                continue
-            e = np.diff(np.concatenate(([0], mask[lo:hi].view(np.int8), [0])))
-            out.append([{"start": s, "end": t} for s, t in zip(np.flatnonzero(e == 1).tolist(), np.flatnonzero(e == -1).tolist(), strict=True)])
-        return out
+        n = len(mask)
+        border = np.zeros(n + 1, bool)
+        border[w.first] = True
+        before, after = np.concatenate(([False], mask[:-1])), np.concatenate((mask[1:], [False]))
+        start = np.flatnonzero(mask & (~before | border[:-1]))
+        end = np.flatnonzero(mask & (~after | border[1:])) + 1
+        of = np.searchsorted(w.first, start, side="right") - 1
+        base = w.first[of]
+        cut = np.searchsorted(of, np.arange(w.n + 1)).astype(np.int32)
+        flat = pa.StructArray.from_arrays([pa.array((start - base).astype(np.int32)), pa.array((end - base).astype(np.int32))], fields=list(kind.value_type))
+        return pa.ListArray.from_arrays(pa.array(cut), flat)
 
     def covered(w: Words, lists: list) -> np.ndarray:
-        delta = np.zeros(len(w.start) + length + 1, np.int32)
-        for k, x in enumerate(lists):
-            for packed in x or ():
-                pos = np.frombuffer(packed, np.int32) + w.first[k]
-                np.add.at(delta, pos, 1)
-                np.add.at(delta, pos + length, -1)
-        return np.cumsum(delta)[: len(w.start)] > 0
+        pos, _ = positions(w, lists)
+        n = len(w.start) + length + 1
+        return np.cumsum(np.bincount(pos, minlength=n) - np.bincount(pos + length, minlength=n))[: len(w.start)] > 0
+
+    def joined_lists(parts: list) -> pa.Array:
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             texts = [unpack(t) for t in batch.column(3).to_pylist()]
@@ -337,21 +348,21 @@ def repeats(
                 n_words += w.counts.tolist()
                 n_removed += (total[w.first[1:]] - total[w.first[:-1]]).tolist()
                 shas += [hashlib.sha256(x).hexdigest() for x in w.joined(~gone)]
-                removed += spans(gone, w.first)
+                removed.append(spans(gone, w))
                 if elsewhere:
                     twice = gone | covered(w, first[lo:hi])
                     total = np.concatenate(([0], np.cumsum(twice)))
                     n_repeated += (total[w.first[1:]] - total[w.first[:-1]]).tolist()
-                    repeated += spans(twice, w.first)
-            arrays = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(shas, pa.string()), pa.array(removed, kind)]
+                    repeated.append(spans(twice, w))
+            arrays = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(shas, pa.string()), joined_lists(removed)]
             names = ["doc_id", "n_words", "n_removed", "kept_sha256", "removed"]
             if elsewhere:
-                arrays += [pa.array(n_repeated, pa.int64()), pa.array(repeated, kind)]
+                arrays += [pa.array(n_repeated, pa.int64()), joined_lists(repeated)]
                 names += ["n_repeated", "repeated"]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    kind = "array<struct<start: int, end: int>>"
-    result = f"doc_id {id_kind}, n_words long, n_removed long, kept_sha256 string, removed {kind}" + f", n_repeated long, repeated {kind}" * elsewhere
+    listed = "array<struct<start: int, end: int>>"
+    result = f"doc_id {id_kind}, n_words long, n_removed long, kept_sha256 string, removed {listed}" + f", n_repeated long, repeated {listed}" * elsewhere
     last = by_document.join(verdict.hint("shuffle_hash"), ["d", "v"], "left")
     return last.select("doc_id", "d", "v", "packed", "later", "first").mapInArrow(final, result)
 
