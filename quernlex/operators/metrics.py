@@ -16,22 +16,25 @@ def judgements(annotations: DataFrame) -> DataFrame:
     return annotations.groupBy("query_id", "chunk_id").agg(last.alias("relevance_score"))
 
 
-def _judged(run: DataFrame, annotations: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+def _judged(run: DataFrame, annotations: DataFrame, threshold: int, totals: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """totals: query_id, total, where they are known without a row for each relevant pair; annotations then need those of the run only."""
     relevant = judgements(annotations).where(F.col("relevance_score") >= threshold)
     marked = relevant.select("query_id", "chunk_id", F.lit(1).alias("rel"))
     hits = run.select("query_id", "chunk_id", "rank").join(marked, ["query_id", "chunk_id"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
-    queries = run.select("query_id").union(annotations.select("query_id")).distinct()
-    totals = queries.join(relevant.groupBy("query_id").agg(F.count(F.lit(1)).alias("total")), "query_id", "left")
+    queries = run.select("query_id").union((annotations if totals is None else totals).select("query_id")).distinct()
+    if totals is None:
+        totals = relevant.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
+    totals = queries.join(totals, "query_id", "left")
     return hits, totals.select("query_id", F.coalesce("total", F.lit(0)).alias("total"))
 
 
-def at_k(run: DataFrame, annotations: DataFrame, ks: tuple[int, ...] = KS, threshold: int = 1) -> DataFrame:
+def at_k(run: DataFrame, annotations: DataFrame, ks: tuple[int, ...] = KS, threshold: int = 1, totals: DataFrame | None = None) -> DataFrame:
     """query_id, k, precision, recall, f1.
 
     Precision is over what was retrieved within k, 0 for nothing. Recall is 1 where nothing is
     relevant. F1 is 0 where both are.
     """
-    hits, totals = _judged(run, annotations, threshold)
+    hits, totals = _judged(run, annotations, threshold, totals)
     counts = hits.groupBy("query_id").agg(*[x for k in ks for x in (F.sum(F.when(F.col("rank") <= k, F.col("rel"))).alias(f"h{k}"), F.count(F.when(F.col("rank") <= k, 1)).alias(f"n{k}"))])
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.coalesce(f"h{k}", F.lit(0)).alias("hits"), F.coalesce(f"n{k}", F.lit(0)).alias("n")) for k in ks]))
     rows = totals.join(counts, "query_id", "left").select("query_id", "total", each.alias("x")).select("query_id", "total", "x.*")
@@ -46,14 +49,14 @@ def at_k(run: DataFrame, annotations: DataFrame, ks: tuple[int, ...] = KS, thres
     return rows.select("query_id", "k", "precision", "recall", f1.alias("f1"))
 
 
-def by_rank(run: DataFrame, annotations: DataFrame, threshold: int = 1) -> DataFrame:
+def by_rank(run: DataFrame, annotations: DataFrame, threshold: int = 1, totals: DataFrame | None = None) -> DataFrame:
     """query_id, reciprocal_rank, average_precision, num_relevant, num_retrieved, has_relevant.
 
     Average precision is 0 for nothing retrieved, else 1 where nothing is relevant.
     """
     from pyspark.sql import Window
 
-    hits, totals = _judged(run, annotations, threshold)
+    hits, totals = _judged(run, annotations, threshold, totals)
     seen = F.sum("rel").over(Window.partitionBy("query_id").orderBy("rank"))
     per = hits.withColumn("seen", seen).groupBy("query_id").agg(
         F.min(F.when(F.col("rel") == 1, F.col("rank"))).alias("first"),

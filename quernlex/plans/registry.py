@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernlex.functions.text import document_matches, normal_act, tokens
@@ -16,6 +16,8 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 #: Vectors that serve as queries against all others.
 QUERY_VECTORS = 20
+#: In the queries named _whole, vectors with ids divisible by this ask the whole table.
+QUERY_STEP = 50
 DIGITS = 9
 
 
@@ -57,6 +59,12 @@ def vectors_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return asked, v.where(F.col("ordinal") >= QUERY_VECTORS)
 
 
+def whole_vectors_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every vector whose id is divisible by QUERY_STEP, and all vectors, the asking ones among them."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ordinal"), "embedding", "label")
+    return v.where(F.col("ordinal") % QUERY_STEP == 0).select(F.col("ordinal").alias("query_id"), "embedding", "label"), v
+
+
 # scans and filters ------------------------------------------------------------------------
 
 
@@ -139,6 +147,19 @@ def cosine_topk_filtered(spark, sf_dir):
     return _shown(retrieval.cosine_topk(asked, v, 5, F.col("label") == 3, DIGITS))
 
 
+@query()
+def cosine_topk_whole(spark, sf_dir):
+    """An asking vector is in the table too, and finds itself."""
+    asked, v = whole_vectors_of(spark, sf_dir)
+    return _shown(retrieval.cosine_topk(asked, v, 10, digits=DIGITS))
+
+
+@query()
+def cosine_topk_filtered_whole(spark, sf_dir):
+    asked, v = whole_vectors_of(spark, sf_dir)
+    return _shown(retrieval.cosine_topk(asked, v, 5, F.col("label") == 3, DIGITS))
+
+
 _BM25 = f"""
 {_TOKENS.replace("t AS", "t0 AS")}, n AS (SELECT count(*) AS n_docs FROM documents),
 dl AS (SELECT d.doc_id, d.lang, count(token) AS dl FROM documents d LEFT JOIN t0 USING (doc_id) GROUP BY ALL),
@@ -195,6 +216,16 @@ def hybrid_topk(spark, sf_dir):
     return _shown(retrieval.fuse(dense, sparse, 10).withColumn("score", F.col("combined_score")))
 
 
+@query()
+def hybrid_topk_whole(spark, sf_dir):
+    """The n-th asking vector, counted by id from 0, asks for the benchmark item n; no other vector is tied to an item."""
+    asked, v = whole_vectors_of(spark, sf_dir)
+    asked = asked.withColumn("query_id", F.expr(f"query_id div {QUERY_STEP}"))
+    dense = retrieval.cosine_topk(asked, v, 20, digits=DIGITS)
+    sparse = retrieval.Bm25(index_of(spark, sf_dir)).topk(items_of(spark, sf_dir), 20, digits=DIGITS)
+    return _shown(retrieval.fuse(dense, sparse, 10).withColumn("score", F.col("combined_score")))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hybrid_topk(spark, sf_dir)
 
@@ -222,15 +253,48 @@ def _run(spark, sf_dir):
     return run, qrels
 
 
+def _run_whole(spark, sf_dir):
+    """The ten nearest others of every asking vector: a vector is neither a hit nor relevant for itself."""
+    asked, v = whole_vectors_of(spark, sf_dir)
+    others = F.col("ordinal") != F.col("query_id")
+    run = retrieval.cosine_topk(asked, v, 11, digits=DIGITS).where(others)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    run = run.select("query_id", F.col("ordinal").alias("chunk_id"), place.alias("rank")).where("rank <= 10")
+    # pairs that were found, and counts, in place of every pair of one label
+    labels = asked.select("query_id", "label")
+    own = labels.join(v.groupBy("label").agg((F.count(F.lit(1)) - 1).alias("total")), "label").select("query_id", "total")
+    near = v.select(F.col("ordinal").alias("chunk_id"), F.col("label").alias("theirs"))
+    qrels = run.join(labels, "query_id").join(near, "chunk_id").where("label = theirs")
+    return run, qrels.select("query_id", "chunk_id", F.lit(2).alias("relevance_score")), own
+
+
 @query(f"{_PER_K} SELECT query_id, CAST(k AS BIGINT) AS k, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1 FROM per_k")
 def metrics_at_k(spark, sf_dir):
-    out = metrics.at_k(*_run(spark, sf_dir))
+    return _at_k(*_run(spark, sf_dir))
+
+
+@query()
+def metrics_at_k_whole(spark, sf_dir):
+    return _at_k(*_run_whole(spark, sf_dir))
+
+
+def _at_k(run, qrels, totals=None):
+    out = metrics.at_k(run, qrels, totals=totals)
     return out.select("query_id", F.col("k").cast("long").alias("k"), *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
 
 
 @query(f"{_PER_K} SELECT query_id, round(rr, 9) AS reciprocal_rank, round(ap, 9) AS average_precision, CAST(num_relevant AS BIGINT) AS num_relevant FROM per_q")
 def reciprocal_rank_and_average_precision(spark, sf_dir):
-    out = metrics.by_rank(*_run(spark, sf_dir))
+    return _by_rank(*_run(spark, sf_dir))
+
+
+@query()
+def reciprocal_rank_and_average_precision_whole(spark, sf_dir):
+    return _by_rank(*_run_whole(spark, sf_dir))
+
+
+def _by_rank(run, qrels, totals=None):
+    out = metrics.by_rank(run, qrels, totals=totals)
     return out.select("query_id", F.round("reciprocal_rank", 9).alias("reciprocal_rank"), F.round("average_precision", 9).alias("average_precision"), F.col("num_relevant").cast("long").alias("num_relevant"))
 
 
@@ -240,19 +304,28 @@ def _overall_sql(middle: str) -> str:
     return f"{_PER_K} SELECT metric, round(value, 9) AS value FROM ({each} UNION ALL {tail})"
 
 
-def _overall(spark, sf_dir, how):
-    run, qrels = _run(spark, sf_dir)
-    return metrics.overall(metrics.at_k(run, qrels), metrics.by_rank(run, qrels), how).select("metric", F.round("value", 9).alias("value"))
+def _overall(how, run, qrels, totals=None):
+    return metrics.overall(metrics.at_k(run, qrels, totals=totals), metrics.by_rank(run, qrels, totals=totals), how).select("metric", F.round("value", 9).alias("value"))
 
 
 @query(_overall_sql("avg(X)"))
 def overall_mean(spark, sf_dir):
-    return _overall(spark, sf_dir, "mean")
+    return _overall("mean", *_run(spark, sf_dir))
+
+
+@query()
+def overall_mean_whole(spark, sf_dir):
+    return _overall("mean", *_run_whole(spark, sf_dir))
 
 
 @query(_overall_sql("list_sort(list(X))[len(list(X)) // 2 + 1]"))
 def overall_median(spark, sf_dir):
-    return _overall(spark, sf_dir, "median")
+    return _overall("median", *_run(spark, sf_dir))
+
+
+@query()
+def overall_median_whole(spark, sf_dir):
+    return _overall("median", *_run_whole(spark, sf_dir))
 
 
 # names ------------------------------------------------------------------------------------
