@@ -175,6 +175,13 @@ def section_term_specificity(spark, sf_dir):
     return t.groupBy("section_number").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query()
+def section_term_specificity_whole(spark, sf_dir):
+    """The terms of every section, from the blocks as they are."""
+    t = synthesis.section_terms(blocks(spark, sf_dir))
+    return t.select("section_number", "term", F.col("n_sections").cast("long").alias("n_sections"), F.col("place").cast("long").alias("place"))
+
+
 @query(
     f"WITH {_BLOCKS}, t AS (SELECT document_title AS t, min(ordinal) AS o FROM b GROUP BY ALL), l AS (SELECT list('the ' || t ORDER BY o) AS l FROM t)"
     " SELECT array_to_string(l[1:len(l) - 1], ', ') || ' and ' || l[len(l)] AS description FROM l"

@@ -59,3 +59,28 @@ def test_metrics_of_every_asking_vector(spark, vectors):
     median = {r["metric"]: r["value"] for r in q["overall_median_whole"](spark, vectors).collect()}
     p10 = sorted(sum(hits) / 10 for hits in ranked.values())
     assert math.isclose(mean["precision@10"], sum(p10) / 3, abs_tol=1e-8) and math.isclose(median["precision@10"], p10[1], abs_tol=1e-8) and math.isclose(mean["mrr"], sum(rr.values()) / 3, abs_tol=1e-8)
+
+
+@pytest.fixture(scope="module")
+def lines(spark, tmp_path_factory):
+    at = str(tmp_path_factory.mktemp("lines"))
+    texts = ["lantern lantern harbour\nharbour anchor\nbeacon", "anchor lantern\n\n" + "\n".join(f"pebble line {i}" for i in range(3, 13))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2).write.parquet(f"{at}/documents.parquet")
+    return at, texts
+
+
+def test_terms_of_every_section(spark, lines):
+    at, texts = lines
+    got = {}
+    for r in sorted(registry.queries()["section_term_specificity_whole"](spark, at).collect(), key=lambda r: r["place"]):
+        got.setdefault(r["section_number"], []).append((r["term"], r["n_sections"]))
+    own = {}
+    for text in texts:
+        for i, line in enumerate(text.split("\n"), 1):
+            own.setdefault(str(i), set()).update(w for w in line.split() if w.isalpha())
+    assert set(got) == set(own) and len(own) == 12
+    spread = {w: sum(w in x for x in own.values()) for x in own.values() for w in x}
+    for section, words in own.items():
+        mine = [x for x in got[section] if x[0] in spread]
+        assert mine == sorted(((w, spread[w]) for w in words), key=lambda x: (x[1], x[0]))
+        assert [x[1] for x in got[section]] == sorted(x[1] for x in got[section])
