@@ -153,6 +153,16 @@ def auto_annotate(spark, sf_dir):
     return synthesis.annotate(q, blocks(spark, sf_dir))
 
 
+@query()
+def auto_annotate_whole(spark, sf_dir):
+    """A question for each section and one for each document of the blocks."""
+    b = blocks(spark, sf_dir)
+    none = F.array().cast("array<string>")
+    sections = b.select("section_number").distinct().select(F.concat(F.lit("section_"), "section_number").alias("query_id"), F.array("section_number").alias("expected_sections"), none.alias("expected_documents"))
+    documents = b.select("document_name").distinct().select(F.concat(F.lit("document_"), "document_name").alias("query_id"), none.alias("expected_sections"), F.array("document_name").alias("expected_documents"))
+    return synthesis.annotate(sections.unionByName(documents), b)
+
+
 @query("SELECT * FROM (VALUES ('fact', 40::BIGINT), ('hypothetical', 35::BIGINT), ('cross-reference', 25::BIGINT)) t(query_type, n)")
 def query_type_distribution(spark, sf_dir):
     q = synthesis.evaluation_set(blocks(spark, sf_dir), 100, "act_3")

@@ -84,3 +84,12 @@ def test_terms_of_every_section(spark, lines):
         mine = [x for x in got[section] if x[0] in spread]
         assert mine == sorted(((w, spread[w]) for w in words), key=lambda x: (x[1], x[0]))
         assert [x[1] for x in got[section]] == sorted(x[1] for x in got[section])
+
+
+def test_a_question_for_every_section_and_document(spark, lines):
+    at, texts = lines
+    blocks = [(d, str(i)) for d, text in enumerate(texts) for i, _ in enumerate(text.split("\n"), 1)]
+    want = {(f"document_act_{d}", f"act_{d}_chunk_{i}", 2) for d, i in blocks}
+    want |= {(f"section_{s}", f"act_{d}_chunk_{i}", 2 if s == i else 1) for s in {i for _, i in blocks} for d, i in blocks if s in i}
+    got = [tuple(r) for r in registry.queries()["auto_annotate_whole"](spark, at).collect()]
+    assert sorted(got) == sorted(want)
