@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from quernlex.llm.batches import map_texts
 from quernlex.llm.components import components
 from quernlex.llm.words import NOT_SPACE, Words, column_bytes, mix, slices
-from quernlex.session import checkpoint
+from quernlex.session import checkpoint, written
 
 HASHES, BITS = 192, 4
 #: A link at the threshold shares no band with at most this chance.
@@ -327,6 +327,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs, columns as they are, of which one of each group of near-duplicates stays."""
+    """The rows of docs, columns as they are, of which one of each group of near-duplicates stays.
+
+    Where rows share an id, or several have none, each row counts for itself: of a group the
+    row with the smallest id stays, null being the smallest, and of those that with the first text.
+    """
+    own = F.col(id_col).cast("long")
+    if docs.groupBy(own.alias("d")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        # row keys in the order of ids, fixed by writing them down
+        docs = written(docs.orderBy(own.asc_nulls_first(), text_col).withColumn("_row", F.monotonically_increasing_id()))
+        id_col = "_row"
     kept = near_duplicates(docs, id_col, text_col, words, percent).where("kept").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("_stays")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), F.coalesce(docs[id_col].cast("long"), F.lit(_NULL_ID)) == kept["_stays"], "left_semi")
+    return docs.join(kept.hint("shuffle_hash"), F.coalesce(docs[id_col].cast("long"), F.lit(_NULL_ID)) == kept["_stays"], "left_semi").drop("_row")

@@ -66,6 +66,15 @@ def test_one_of_each(docs, rows):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(want)
 
 
+def test_one_of_each_goes_by_rows(spark):
+    """Rows that share an id, or have none, are judged by their own texts."""
+    one, two, three = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(3, one), (7, one + " more"), (7, two), (None, three), (None, three + " more"), (9, three), (None, None)]
+    kept = one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert kept.columns == ["doc_id", "text"]
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(3, one), (7, two), (None, three), (None, None)], key=str)
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(k, k + 1) for k in range(1000, 1100)] + [(5000, k) for k in range(5001, 5300)]
