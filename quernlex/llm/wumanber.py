@@ -42,7 +42,7 @@ class Patterns:
     def __init__(self, items: list[tuple[str, bytes]], window: int) -> None:
         w = Words([t for _, t in items], ALNUM, lower=True)
         h = w.hashes()
-        self.ids = [i for i, _ in items]
+        self.ids, self.window = [i for i, _ in items], window
         found: dict[int, dict[bytes, tuple[int, set[int]]]] = defaultdict(dict)
         for k in range(w.n):
             lo, hi = int(w.first[k]), int(w.first[k + 1])
@@ -63,11 +63,12 @@ class Patterns:
                 buckets[b][key] = owners
             self.sets.append((m, size, shift, dict(buckets)))
 
-    def search(self, w: Words) -> tuple[np.ndarray, dict[int, set[str]]]:
-        """Which words of w are in an occurrence, and for each text that has any the items."""
+    def search(self, w: Words) -> tuple[np.ndarray, dict[int, set[str]], dict[int, set[str]]]:
+        """Which words of w are in an occurrence, and for each text that has any the items, and those of them by a window of full length."""
         h = w.hashes()
         hit = np.zeros(len(w.start) + 1, np.int64)
         items: dict[int, set[str]] = defaultdict(set)
+        full: dict[int, set[str]] = defaultdict(set)
         for m, size, shift, buckets in self.sets:
             # lanes: ranges of window ends, each in one text
             first_end, stop = w.first[:-1] + m - 1, w.first[1:]
@@ -86,10 +87,12 @@ class Patterns:
                         hit[e - m + 1] += 1
                         hit[e + 1] -= 1
                         items[k].update(self.ids[o] for o in owners)
+                        if m == self.window:
+                            full[k].update(self.ids[o] for o in owners)
                 at = at + np.maximum(step, 1)
                 alive = at < last
                 at, last, of = at[alive], last[alive], of[alive]
-        return np.cumsum(hit[:-1]) > 0, items
+        return np.cumsum(hit[:-1]) > 0, items, full
 
 
 def search_benchmark(
@@ -102,7 +105,7 @@ def search_benchmark(
     carry: list[str] | None = None,
     part_bytes: int = PART_BYTES,
 ) -> DataFrame:
-    """docs' columns `carry` as c0, c1, ... and n_words, n_hit, n_items, items_sha256.
+    """docs' columns `carry` as c0, c1, ... and n_words, n_hit, n_items, items_sha256, n_full (items by a window of full length).
 
     Words are lower-cased (A-Z) runs of ASCII letters, digits and characters from U+0080. A
     window is `window` consecutive words of an item; a shorter item with words is one window; an
@@ -131,30 +134,37 @@ def search_benchmark(
 
         def work(texts: list[bytes | None]) -> list[list]:
             w = Words(texts, ALNUM, lower=True)
-            hit, items = np.zeros(len(w.start), bool), defaultdict(set)
+            hit, items, full = np.zeros(len(w.start), bool), defaultdict(set), defaultdict(set)
             for part in parts:
-                more, found = patterns(part).search(w)
+                more, *found = patterns(part).search(w)
                 hit |= more
-                for k, ids in found.items():
-                    items[k] |= ids
+                for have, new in zip((items, full), found, strict=True):
+                    for k, ids in new.items():
+                        have[k] |= ids
             total = np.concatenate(([0], np.cumsum(hit)))
             n_hit = total[w.first[1:]] - total[w.first[:-1]]
             shas = [hashlib.sha256(",".join(sorted(items[k])).encode() if k in items else b"").hexdigest() for k in range(w.n)]
-            return [w.counts.tolist(), n_hit.tolist(), [len(items[k]) if k in items else 0 for k in range(w.n)], shas]
+            many = [[len(x[k]) if k in x else 0 for k in range(w.n)] for x in (items, full)]
+            return [w.counts.tolist(), n_hit.tolist(), many[0], shas, many[1]]
 
         return work
 
-    added = [("n_words", "long", pa.int64()), ("n_hit", "long", pa.int64()), ("n_items", "long", pa.int64()), ("items_sha256", "string", pa.string())]
+    added = [("n_words", "long", pa.int64()), ("n_hit", "long", pa.int64()), ("n_items", "long", pa.int64()), ("items_sha256", "string", pa.string()), ("n_full", "long", pa.int64())]
     return map_texts(docs, text_col, added, make, carry or [])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", least_items: int = LEAST_ITEMS, **how) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    out = search_benchmark(docs, benchmark, carry=[id_col], **how)
+    out = search_benchmark(docs, benchmark, carry=[id_col], **how).drop("n_full")
     return out.withColumnRenamed("c0", "doc_id").withColumn("contaminated", F.col("n_items") >= least_items)
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, least_items: int = LEAST_ITEMS, **how) -> DataFrame:
-    """The rows of docs, columns as they are, in which windows of fewer than `least_items` items occur."""
-    out = search_benchmark(docs, benchmark, carry=docs.columns, **how).where(F.col("n_items") < least_items)
+    """The rows of docs, columns as they are, in which windows of fewer than `least_items` items occur.
+
+    An item shorter than a window is too common a thing to go by alone: items with only such
+    windows in a text count where LEAST_ITEMS items or more, of any length, are found in it.
+    """
+    stays = (F.col("n_full") < least_items) & (F.col("n_items") < max(least_items, LEAST_ITEMS))
+    out = search_benchmark(docs, benchmark, carry=docs.columns, **how).where(stays)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -44,3 +44,11 @@ def test_stages(spark, folder):
     mixed = {r["doc_id"]: r for r in STAGES[-1][1](spark, docs, at).collect()}
     assert set(mixed) == left
     assert sorted(map(str, run(spark, at).collect())) == sorted(map(str, mixed.values()))
+
+
+def test_one_short_item_does_not_empty_the_corpus(spark, tmp_path):
+    long = "one two three four five six seven eight"
+    spark.createDataFrame([(1, "the"), (2, long), (3, "lamp")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, "the cat"), (2, f"so {long} nine"), (3, "the lamp"), (4, "a dog"), (5, None), (6, f"the {long}")], "doc_id long, text string")
+    kept = dict(STAGES)["decontamination"](spark, docs, str(tmp_path))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 4, 5]
