@@ -1,32 +1,58 @@
-"""Connected components of a distributed graph, by alternating large and small stars."""
+"""Connected components of a distributed graph, by alternating large and small stars, and joins that no hot group holds up."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernlex.session import checkpoint
 
+#: A group's rows are dealt to so many places before they meet what is known of the group.
+SALTS = 64
+
+
+def salt(*spread: str | Column) -> Column:
+    return F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, on: list[str], spread: list[str], how: str = "inner") -> DataFrame:
+    """rows with the columns of groups, which has one row for each value of `on` (none of them null).
+
+    Rows of one group are told apart by a hash of `spread`. Only the different pairs of group and
+    hash meet the group's row; each row then meets its pair. So a group that holds a third of all
+    rows comes to SALTS tasks, whatever the number of its rows. `rows` is read twice.
+    """
+    salted = rows.withColumn("_salt", salt(*spread))
+    pairs = salted.select(*on, "_salt").distinct().join(groups, on, how)
+    return salted.join(pairs, [*on, "_salt"]).drop("_salt")
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """edges (u, v) with m, the least v of each u, found in two steps like spread_join's."""
+    salted = edges.withColumn("s", salt("v"))
+    part = salted.groupBy("u", "s").agg(F.min("v").alias("m"))
+    pairs = part.select("u", "s").join(part.groupBy("u").agg(F.min("m").alias("m")), "u")
+    return salted.join(pairs, ["u", "s"]).drop("s")
+
 
 def _large(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is tied to the least of the node and its neighbours."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are tied to the least of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
-    tied = edges.join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return tied.where("u <> v").union(least.select(F.col("w").alias("u"), F.col("m").alias("v")))
+    known = _with_least(edges)
+    tied = known.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    return tied.union(known.select("u", F.col("m").alias("v")))
 
 
 def components(links: DataFrame) -> DataFrame:
     """For a graph of links (u, v) of longs: node, root, one row for each node but the roots.
 
-    root is the least node that node is connected with. Aggregations are partial before each
-    shuffle, and joins are on a node and so can be split where a node has very many links.
+    root is the least node that node is connected with. A node with very many links is dealt to
+    SALTS places in each step. Links of a node with itself say nothing; no links give no rows.
     """
     edges = checkpoint(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     known = None

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernlex.llm.batches import map_texts
-from quernlex.llm.words import LOWER, mix
+from quernlex.llm.words import LOWER, mix, word_hashes
 from quernlex.session import checkpoint
 
 #: The most documents that fitting uses: those with the least hashes of their ids.
@@ -55,9 +55,7 @@ def subwords(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     codes = [part[three] * _U(0x9E3779B97F4A7C15) >> shift, (part[four] + _SALT[3][b[four + 3]]) * _U(0xD6E8FEB86659FD93) >> shift]
     edge = np.flatnonzero(word[1:] != word[:-1])
     start, end = edge[0::2], edge[1::2]
-    run = np.concatenate(([_U(0)], np.cumsum(mix(_SALT[3][b] + np.arange(len(b), dtype=_U) * _U(0)))))
-    # letters of a word, order left to the parts; its length and ends tell most others apart
-    whole = mix(run[end + 1] - run[start + 1] + _SALT[0][b[start + 1]] * _U(3) + _SALT[1][b[end]] * _U(5))
+    whole = word_hashes(b, start + 1, end + 1)
     places.append(start)
     codes.append(whole >> shift)
     at = np.concatenate(places)

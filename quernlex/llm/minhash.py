@@ -9,9 +9,12 @@
 3. Inside a component, candidates that differ too much in size, or whose similarity as
    estimated from the signatures (equal groups of bits counted, corrected for chance equality) is
    far below the threshold, are passed over; all others are confirmed on their full sets, unless
-   confirmed links connect them already. A component too large for one task is cut into chunks,
-   linked within chunks, then across pairs of chunks, still without loss.
-4. Confirmed links give the final components.
+   confirmed links connect them already.
+4. A component too large for one task is cut into chunks and linked within chunks. What may be
+   missing then are links inside buckets whose nodes confirmed links don't connect: only those
+   buckets are gone through, each by itself, and in a bucket the largest connected part never
+   against itself.
+5. Confirmed links give the final components.
 """
 
 from __future__ import annotations
@@ -21,11 +24,12 @@ from math import sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernlex.llm.batches import map_texts
-from quernlex.llm.components import components
+from quernlex.llm.components import components, salt, spread_join
+from quernlex.llm.ids import free_name, numbered_rows, plain_ids
 from quernlex.llm.words import NOT_SPACE, Words, column_bytes, mix, slices
 from quernlex.session import checkpoint, written
 
@@ -35,7 +39,6 @@ MISSED = 1e-6
 #: Shingles of a component, or of a chunk of a large one, that one task takes.
 TASK_SHINGLES = 2_000_000
 SHINGLE_WORDS, PERCENT = 5, 80
-_NULL_ID = -(1 << 63)
 _U = np.uint64
 
 _SEEDS = mix(np.arange(1, 2 * HASHES + 1, dtype=_U) * _U(0xA0761D6478BD642F))
@@ -57,9 +60,10 @@ def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """
     count = np.where(w.counts >= size, w.counts - size + 1, np.minimum(w.counts, 1))
     h = w.windows(size)
-    few = np.flatnonzero((w.counts > 0) & (w.counts < size))
-    for k in few.tolist():
-        h[w.first[k]] = w.windows(int(w.counts[k]), 0, w.first[k : k + 1])[0]
+    for few in range(1, size):
+        at = w.first[:-1][w.counts == few]
+        if len(at):
+            h[at] = w.windows(few, 0, at)
     begin = np.concatenate(([0], np.cumsum(count)))
     out = h[np.repeat(w.first[:-1] - begin[:-1], count) + np.arange(begin[-1])]
     for lo, hi in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
@@ -221,15 +225,54 @@ def _link_rows(bands: int, percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, percent: int = PERCENT, task_shingles: int = TASK_SHINGLES) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept.
+def _candidates(nodes: DataFrame, bands: int) -> DataFrame:
+    """Stars over the buckets of each band: u, v. A hot bucket has a star in each of its salted parts, whose heads have one star."""
+    entries = _entries(nodes, bands, ["d"]).withColumn("s", salt("d"))
+    parts = entries.withColumn("head", F.min("d").over(Window.partitionBy("b", "key", "s")))
+    inner = parts.where("d <> head").select(F.col("d").alias("u"), F.col("head").alias("v"))
+    heads = parts.where("d = head").withColumn("top", F.min("d").over(Window.partitionBy("b", "key")))
+    return inner.union(heads.where("d <> top").select(F.col("d").alias("u"), F.col("top").alias("v")))
 
-    Texts are linked whose sets of shingles of `words` words (lower-cased A-Z) have 100 times
-    their common part >= percent times their union. component_id is the smallest id reachable.
-    A text without words, or null, has no shingles and links. A null id counts as the smallest
-    and shows as a null component_id; rows that share an id are one document with the links of
-    all of them. Empty tables give no rows.
+
+def _entries(nodes: DataFrame, bands: int, carry: list[str]) -> DataFrame:
+    """A row for each band of each node: carry, b, key."""
+    key = [F.conv(F.hex(F.substring("keys", 1 + 8 * b, 8)), 16, -10).cast("long") for b in range(bands)]
+    return nodes.select(*carry, F.posexplode(F.array(*key)).alias("b", "key"))
+
+
+def _bucket_tasks(sets: DataFrame, bands: int, task_shingles: int) -> DataFrame:
+    """d, task, side: what is left to do in buckets that have nodes of different labels.
+
+    sets: d, n, keys, label. A bucket's body are its nodes of the label with the most shingles,
+    which needn't be compared with each other; the rest is compared with the body and with itself,
+    in chunks of about task_shingles.
     """
+    entries = checkpoint(_entries(sets, bands, ["d", "n", "label"]))
+    labels = entries.withColumn("s", salt("d")).groupBy("b", "key", "label", "s").agg(F.sum("n").alias("n")).groupBy("b", "key", "label").agg(F.sum("n").alias("n"))
+    open_ = labels.groupBy("b", "key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+
+    def chunks(size: Column) -> Column:
+        return F.greatest(F.ceil(size / task_shingles), F.lit(1)).cast("int")
+
+    open_ = open_.select("b", "key", F.col("top.label").alias("body"), chunks(F.col("top.n")).alias("nb"), chunks(F.col("total") - F.col("top.n")).alias("nr"))
+    rows = spread_join(entries, open_, ["b", "key"], ["d"])
+    rest = F.col("label") != F.col("body")
+    rows = rows.withColumn("c", F.pmod(F.xxhash64("d"), F.when(rest, F.col("nr")).otherwise(F.col("nb"))).cast("int"))
+
+    def task(kind: str, i: Column, j: Column, side: Column) -> Column:
+        return F.struct(F.concat_ws(":", F.lit(kind), F.col("b"), F.col("key"), i, j).alias("task"), side.cast("int").alias("side"))
+
+    others = F.sequence(F.lit(0), F.col("nr") - 1)
+    mixed = F.when(rest, F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda i: task("body", i, F.col("c"), F.lit(1)))).otherwise(
+        F.transform(others, lambda j: task("body", F.col("c"), j, F.lit(0)))
+    )
+    inner = F.when(rest, F.transform(others, lambda j: task("rest", F.least("c", j), F.greatest("c", j), F.when(F.col("c") == j, -1).otherwise((F.col("c") > j).cast("int")))))
+    every = F.concat(mixed, F.coalesce(inner, F.array().cast("array<struct<task: string, side: int>>")))
+    return rows.select("d", F.explode(every).alias("t")).select("d", "t.task", "t.side")
+
+
+def _linked(docs: DataFrame, words: int, percent: int, task_shingles: int) -> DataFrame:
+    """docs: d (long, never null or repeated), text. Per row: d, n (shingles), comp (the least d reachable)."""
     rows = band_rows(percent)
     bands = HASHES // rows
 
@@ -255,87 +298,92 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return work
 
     added = [("n", "long", pa.int64()), ("one", "long", pa.int64()), ("two", "long", pa.int64()), ("keys", "binary", pa.binary()), ("sigs", "binary", pa.binary())]
-    d = F.coalesce(F.col("c0").cast("long"), F.lit(_NULL_ID))
-    signed = checkpoint(map_texts(docs, text_col, added, make, [id_col]).withColumn("d", d))
+    signed = checkpoint(map_texts(docs, "text", added, make, ["d"]).withColumnRenamed("c0", "d"))
     nodes = signed.where("n > 0").groupBy("n", "one", "two").agg(F.min("d").alias("d"), F.first("keys").alias("keys"), F.first("sigs").alias("sigs"))
-
-    # stars over the buckets of each band
-    key = [F.hex(F.substring("keys", 1 + 8 * b, 8)) for b in range(bands)]
-    entries = nodes.select("d", F.posexplode(F.array(*[F.conv(k, 16, -10).cast("long") for k in key])).alias("b", "key"))
-    heads = entries.groupBy("b", "key").agg(F.min("d").alias("head"), F.max("d").alias("tail")).where("head <> tail").drop("tail")
-    stars = entries.join(heads, ["b", "key"]).where("d <> head").select(F.col("d").alias("u"), F.col("head").alias("v"))
-    near = components(stars)
+    near = components(_candidates(nodes, bands))
     member = near.select(F.col("node").alias("d"), F.col("root").alias("comp"))
     member = member.union(near.select(F.col("root").alias("d"), F.col("root").alias("comp")).distinct())
 
     # the full sets of nodes that have a candidate, read again from their texts
-    wanted = nodes.join(member, "d")
-    total = wanted.groupBy("comp").agg(F.sum("n").alias("total")).withColumn("chunks", F.ceil(F.col("total") / task_shingles).cast("int"))
-    wanted = checkpoint(wanted.join(total.select("comp", "chunks"), "comp").withColumn("chunk", F.pmod(F.xxhash64("d"), F.col("chunks")).cast("int")))
-    whole = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("d"), F.col(text_col).alias("text"))
+    wanted = checkpoint(nodes.join(member, "d"))
+    total = wanted.groupBy("comp").agg(F.sum("n").alias("total")).select("comp", F.ceil(F.col("total") / task_shingles).cast("int").alias("chunks"))
+    wanted = checkpoint(spread_join(wanted, total, ["comp"], ["d"]).withColumn("chunk", F.pmod(F.xxhash64("d"), F.col("chunks")).cast("int")))
 
     def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = column_bytes(batch.column(1))
+            texts = column_bytes(batch.column(0))
             out = []
             for lo, hi in slices(texts):
                 sets, begin = shingles(Words(texts[lo:hi], NOT_SPACE, lower=True), words)
                 out += [sets[a:b].tobytes() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(i) for i in range(2, 9)), pa.array(out, pa.binary())], ["d", "n", "sigs", "keys", "one", "comp", "chunk", "chunks", "shingles"])
-
-    read = whole.join(wanted.select("d", "n", "sigs", "keys", "one", "comp", "chunk", "chunks").hint("shuffle_hash"), "d")
-    read = read.select("d", "text", "n", "sigs", "keys", "one", "comp", "chunk", "chunks").mapInArrow(
-        set_rows, "d long, n long, sigs binary, keys binary, one long, comp long, chunk int, chunks int, shingles binary"
-    )
-    # rows that share an id may have other sets; each goes with the signature that is its own
-    read = read.where(F.octet_length("shingles") == 8 * F.col("n"))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.binary())], ["d", "n", "sigs", "keys", "label", "task", "shingles"])
 
-    large = wanted.where("chunks > 1").limit(1).count() > 0
-    if large:
-        read = checkpoint(read)
+    def sets_of(some: DataFrame) -> DataFrame:
+        some = some.select("d", "n", "sigs", "keys", F.col("d").alias("label"), F.concat_ws(":", "comp", "chunk").alias("task"))
+        read = docs.join(some.hint("shuffle_hash"), "d").select("text", "d", "n", "sigs", "keys", "label", "task")
+        return read.mapInArrow(set_rows, "d long, n long, sigs binary, keys binary, label long, task string, shingles binary")
 
-    def linked(tasks: DataFrame) -> DataFrame:
+    def confirmed(tasks: DataFrame) -> DataFrame:
         by = tasks.select("d", "n", "sigs", "keys", "shingles", "label", "side", "task").repartition("task").sortWithinPartitions("task")
         return by.mapInArrow(_link_rows(bands, percent), "u long, v long")
 
-    within = F.concat_ws(":", "comp", "chunk")
-    links = linked(read.select("*", F.col("d").alias("label"), F.lit(-1).alias("side"), within.alias("task")))
-    if large:
-        links = checkpoint(links)
-        first = components(links)
-        parts = read.where("chunks > 1").join(first, F.col("d") == F.col("node"), "left").withColumn("label", F.coalesce("root", "d"))
-        other = F.explode(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: j != F.col("chunk")))
-        pairs = parts.withColumn("other", other).withColumn("task", F.concat_ws(":", "comp", F.least("chunk", "other"), F.greatest("chunk", "other")))
-        links = links.union(linked(pairs.withColumn("side", (F.col("chunk") > F.col("other")).cast("int"))))
-    # an id that several sets have ties their nodes together
-    several = signed.where("n > 0").groupBy("d").agg(F.min("one").alias("lo"), F.max("one").alias("hi")).where("lo <> hi").select("d")
-    same = signed.where("n > 0").join(several, "d").select(F.col("d").alias("u"), "n", "one", "two")
-    same = same.join(nodes.select("n", "one", "two", F.col("d").alias("v")), ["n", "one", "two"]).select("u", "v")
-    found = components(links.union(same))
+    alone = F.lit(-1).alias("side")
+    links = confirmed(sets_of(wanted.where("chunks = 1")).select("*", alone))
+    if wanted.where("chunks > 1").limit(1).count():
+        sets = written(sets_of(wanted.where("chunks > 1")))
+        within = checkpoint(confirmed(sets.select("*", alone)))
+        known = components(within).select(F.col("node").alias("d"), "root")
+        sets = sets.drop("label", "task").join(known, "d", "left").withColumn("label", F.coalesce("root", "d")).drop("root")
+        tasks = _bucket_tasks(sets, bands, task_shingles)
+        links = links.union(within).union(confirmed(sets.join(tasks, "d")))
+    found = components(links)
 
     # from rows to nodes to components
     named = nodes.select("n", "one", "two", F.col("d").alias("rep")).join(found, F.col("rep") == F.col("node"), "left")
     named = named.select("n", "one", "two", F.coalesce("root", "rep").alias("comp"))
-    out = signed.select("c0", "d", "n", "one", "two").join(named, ["n", "one", "two"], "left")
-    comp = F.coalesce("comp", "d")
-    return out.select(
-        F.col("c0").alias("doc_id"),
-        F.col("n").alias("n_shingles"),
-        F.when(comp != _NULL_ID, comp).alias("component_id"),
-        (F.col("d") == comp).alias("kept"),
-    )
+    out = spread_join(signed.where("n > 0").select("d", "n", "one", "two"), named, ["n", "one", "two"], ["d"])
+    return out.select("d", "n", "comp").union(signed.where("n = 0").select("d", "n", F.col("d").alias("comp")))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, percent: int = PERCENT, task_shingles: int = TASK_SHINGLES) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id, kept.
+
+    Texts are linked whose sets of shingles of `words` words (lower-cased A-Z) have 100 times
+    their common part >= percent times their union. component_id is the smallest id reachable.
+    A text without words, or null, has no shingles and links. Ids may be of any type with an
+    order. Rows that share an id are one document with the links of all of them. A row without an
+    id is a document of its own and its null counts as the smallest id: component_id is null then,
+    and one of the component's rows without ids is kept. Empty tables give no rows. Other columns
+    of docs are not read. Shingles are compared by 64-bit hashes.
+    """
+    if plain_ids(docs, id_col):
+        out = _linked(docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("text")), words, percent, task_shingles)
+        kind = docs.schema[id_col].dataType
+        return out.select(
+            F.col("d").cast(kind).alias("doc_id"), F.col("n").alias("n_shingles"), F.col("comp").cast(kind).alias("component_id"), (F.col("d") == F.col("comp")).alias("kept")
+        )
+    rows = numbered_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text", "d")
+    out = checkpoint(_linked(rows.select("d", "text"), words, percent, task_shingles).join(rows.select("d", "id"), "d"))
+    own = out.where("id is not null")
+    several = own.groupBy("id").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").drop("most")
+    ties = spread_join(own.select("id", "comp").distinct(), several, ["id"], ["comp"])
+    tied = components(ties.select(F.col("comp").alias("u"), F.col("least").alias("v"))).select(F.col("node").alias("comp"), "root")
+    out = checkpoint(spread_join(out, tied, ["comp"], ["d"], "left").withColumn("comp", F.coalesce("root", "comp")).drop("root"))
+    first = out.groupBy("comp").agg(F.min_by("id", "d").alias("component_id"), F.min("d").alias("first"))
+    kept = F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull() & (F.col("d") == F.col("first")))
+    return spread_join(out, first, ["comp"], ["d"]).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of docs, columns as they are, of which one of each group of near-duplicates stays.
 
-    Where rows share an id, or several have none, each row counts for itself: of a group the
-    row with the smallest id stays, null being the smallest, and of those that with the first text.
+    Of a group the row with the smallest id stays. Where rows share an id, or have none, each row
+    counts for itself: null is the smallest id, and rows of one id go by a hash of their texts.
     """
-    own = F.col(id_col).cast("long")
-    if docs.groupBy(own.alias("d")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
-        # row keys in the order of ids, fixed by writing them down
-        docs = written(docs.orderBy(own.asc_nulls_first(), text_col).withColumn("_row", F.monotonically_increasing_id()))
-        id_col = "_row"
-    kept = near_duplicates(docs, id_col, text_col, words, percent).where("kept").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("_stays")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), F.coalesce(docs[id_col].cast("long"), F.lit(_NULL_ID)) == kept["_stays"], "left_semi").drop("_row")
+    row = free_name(docs, "_row")
+    if plain_ids(docs, id_col):
+        rows = docs.withColumn(row, F.col(id_col).cast("long"))
+    else:
+        rows = numbered_rows(docs, id_col, text_col, row)
+    kept = _linked(rows.select(F.col(row).alias("d"), F.col(text_col).alias("text")), words, percent, TASK_SHINGLES).where("d = comp")
+    return rows.join(kept.select(F.col("d").alias(row)).hint("shuffle_hash"), row, "left_semi").drop(row).select(*[F.col(f"`{c}`") for c in docs.columns])

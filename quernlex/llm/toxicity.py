@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from quernlex.llm.batches import map_texts
 from quernlex.llm.trees import Boosted, Isotonic
-from quernlex.llm.words import Words, column_bytes, mix, ranges_hash, slices
+from quernlex.llm.words import Words, column_bytes, eights, mix, slices
 from quernlex.session import checkpoint, ship
 
 #: The most labelled rows that fitting uses: those with the least hashes of their ids.
@@ -72,12 +72,12 @@ def fold_number(doc_id: Column) -> Column:
 
 def terms_of(w: Words) -> np.ndarray:
     """A row for each word: hashes of its beginnings (0 where it is shorter) and of itself."""
-    p = w.byte_prefix()
+    first = eights(w.buf)[w.start]
+    size = w.end - w.start
     out = np.zeros((len(w.start), len(_PREFIXES) + 1), _U)
     for k, n in enumerate(_PREFIXES):
-        hi = w.start + n
-        fits = hi <= w.end
-        out[fits, k] = ranges_hash(p, w.start[fits], hi[fits])
+        fits = size >= n
+        out[fits, k] = mix(first[fits] & _U((1 << 8 * n) - 1) ^ _U(n << 56))
     out[:, -1] = mix(w.hashes() ^ _WHOLE)
     return out
 

@@ -1,13 +1,14 @@
 """Word tables over batches of UTF-8 texts, built with numpy.
 
 A table holds every word of a few texts: where it starts and ends in one byte buffer, which
-text it is of, and a 64-bit hash. Words are maximal runs of bytes that a class table marks;
+text it is of, and 64-bit hashes. Words are maximal runs of bytes that a class table marks;
 both classes used here keep all bytes from 0x80 up, so words of any script stay whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -41,49 +42,43 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-class _Ring:
-    """Powers of an odd base and of its inverse modulo 2**64, as many as were asked for."""
-
-    def __init__(self, base: int) -> None:
-        self.base, self.inverse, self.n = base, pow(base, -1, 1 << 64), 0
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > self.n:
-            self.n = max(n, SLICE_BYTES + 4096)
-            self.up, self.down = _powers(self.base, self.n), _powers(self.inverse, self.n)
-        return self.up, self.down
-
-
-_RINGS: dict[int, _Ring] = {}
-_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-
-
-def _ring(which: int) -> _Ring:
-    if which not in _RINGS:
-        _RINGS[which] = _Ring(_BASES[which])
-    return _RINGS[which]
-
-
-#: A random odd 64-bit number for each byte value.
-_CODES = mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)) | _U(1)
-
-
-def ranges_hash(prefix: np.ndarray, lo: np.ndarray, hi: np.ndarray, which: int = 0) -> np.ndarray:
-    """Hashes of the ranges lo..hi of a sequence whose weighted prefix sums are given."""
-    _, down = _ring(which).get(len(prefix))
-    return mix((prefix[hi] - prefix[lo]) * down[lo] + (hi - lo).astype(np.uint64))
-
-
-def prefix_sums(values: np.ndarray, which: int = 0) -> np.ndarray:
-    up, _ = _ring(which).get(len(values) + 1)
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=out[1:])
+#: Two seeds, so that two hashes of a word tell nothing of each other.
+_SEEDS = mix(np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], np.uint64))
+#: Masks of the first 0 to 8 bytes of a little-endian number.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Longer words are hashed by a library, one at a time.
+_LONG_WORD = 256
+
+
+def eights(buf: np.ndarray) -> np.ndarray:
+    """From each byte on, eight of them as one number; zeros follow the last byte."""
+    out = np.zeros(len(buf) + 8, np.uint8)
+    out[: len(buf)] = buf
+    return np.ndarray((len(buf) + 1,), "<u8", out, 0, (1,))
+
+
+def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    """A hash of the bytes start..end of each word, eight at a time, each eight stirred into the last.
+
+    Nothing is added up over a word, so no arrangement of the same bytes cancels out. Words of at
+    most eight bytes that are equally long never collide; `which` names one of two independent hashes.
+    """
+    seed = _SEEDS[which]
+    size = end - start
+    view = eights(buf)
+    out = mix(view[start] & _FIRST[np.minimum(size, 8)] ^ (size.astype(_U) * _U(0xA0761D6478BD642F) + seed))
+    more = np.flatnonzero(size > 8)
+    done = 8
+    long = more[size[more] > _LONG_WORD]
+    more = more[size[more] <= _LONG_WORD]
+    while len(more):
+        chunk = view[start[more] + done] & _FIRST[np.minimum(size[more] - done, 8)]
+        out[more] = mix((out[more] ^ chunk) + seed)
+        done += 8
+        more = more[size[more] > done]
+    for i in long.tolist():
+        key = int(seed).to_bytes(8, "little")
+        out[i] = int.from_bytes(blake2b(buf[start[i] : end[i]].tobytes(), digest_size=8, key=key).digest(), "little")
     return out
 
 
@@ -104,32 +99,35 @@ class Words:
         self.lengths = lengths
         self.first = np.searchsorted(self.start, self.begin)
         self.counts = np.diff(self.first)
-        self._prefix: dict[int, np.ndarray] = {}
+        self._hashes: dict[int, np.ndarray] = {}
 
     def doc(self) -> np.ndarray:
         """The text's number for each word."""
         return np.repeat(np.arange(self.n), self.counts)
 
-    def byte_prefix(self) -> np.ndarray:
-        if 0 not in self._prefix:
-            self._prefix[0] = prefix_sums(_CODES[self.buf])
-        return self._prefix[0]
-
-    def hashes(self) -> np.ndarray:
-        if not hasattr(self, "_hashes"):
-            self._hashes = ranges_hash(self.byte_prefix(), self.start, self.end)
-        return self._hashes
+    def hashes(self, which: int = 0) -> np.ndarray:
+        """One of two independent 64-bit hashes of each word."""
+        if which not in self._hashes:
+            self._hashes[which] = word_hashes(self.buf, self.start, self.end, which)
+        return self._hashes[which]
 
     def windows(self, size: int, which: int = 0, at: np.ndarray | None = None) -> np.ndarray:
         """Hashes of `size` consecutive words, from every word or those numbered `at`.
 
-        Entries whose window would leave the text are meaningless; see fits().
+        Hashes of twice as many words are stirred together until two of them, which may overlap,
+        cover a window. Entries whose window would leave the text are meaningless; see fits().
         """
-        if -1 - which not in self._prefix:
-            self._prefix[-1 - which] = prefix_sums(self.hashes(), which)
-        p = self._prefix[-1 - which]
-        lo = np.arange(len(self.start)) if at is None else at
-        return ranges_hash(p, lo, np.minimum(lo + size, len(self.start)), which)
+        x, n, have = self.hashes(which), len(self.start), 1
+        if size > n:
+            return np.zeros(n if at is None else len(at), _U)
+        while have < size:
+            step = min(have, size - have)
+            left, right = x[: len(x) - step], x[step:]
+            x = mix(left * _U(0x9E3779B97F4A7C15) + right + _U(have + step))
+            have += step
+        if len(x) < n:
+            x = np.concatenate((x, np.zeros(n - len(x), _U)))
+        return x if at is None else x[at]
 
     def fits(self, size: int) -> np.ndarray:
         """Whether `size` words from each word on are in its text."""
@@ -139,6 +137,17 @@ class Words:
     def word(self, i: int) -> bytes:
         return self.buf[self.start[i] : self.end[i]].tobytes()
 
+    def lines(self) -> tuple[bytes, bytes, np.ndarray]:
+        """All words, each followed by a blank; the same from the last word to the first; where each word begins in the first."""
+        size = self.end - self.start + 1
+        edge = np.concatenate(([0], np.cumsum(size)))
+        rel = np.arange(edge[-1]) - np.repeat(edge[:-1], size)
+        spaced = self.buf.copy()
+        spaced[self.end] = 0x20
+        back = np.concatenate(([0], np.cumsum(size[::-1])))
+        turned = np.arange(edge[-1]) - np.repeat(back[:-1], size[::-1])
+        return spaced[np.repeat(self.start, size) + rel].tobytes(), spaced[np.repeat(self.start[::-1], size[::-1]) + turned].tobytes(), edge
+
     def joined(self, keep: np.ndarray | None = None) -> list[memoryview]:
         """For each text its kept words, joined by one space."""
         delta = np.zeros(len(self.buf) + 1, np.int8)

@@ -55,7 +55,8 @@ def test_chain_of_edits(spark):
 
 def test_odd_rows(odd, empty):
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates(odd).collect()), key=str)
-    assert got == sorted([(None, 1, None, True)] * 2 + [(5, 1, None, False)] * 3 + [(6, 0, 6, True), (7, 0, 7, True)], key=str)
+    # rows without ids are documents of their own, of which one stays
+    assert got == sorted([(None, 1, None, True), (None, 1, None, False)] + [(5, 1, None, False)] * 3 + [(6, 0, 6, True), (7, 0, 7, True)], key=str)
     assert near_duplicates(empty).count() == 0
     assert one_of_each(odd).columns == odd.columns and one_of_each(empty).count() == 0
 
@@ -109,3 +110,63 @@ def test_bands_lose_nothing():
         r = band_rows(percent)
         assert (1 - (percent / 100) ** r) ** (HASHES // r) <= 1e-6
     assert band_rows(85) == 6 and np.uint8(1) == 1
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join((a, b)[bin(k).count("1") % 2] for k in range(n))
+
+
+@pytest.mark.parametrize("n", [512, 1024, 2048, 4096])
+def test_words_that_cancel_out_in_sums(spark, n):
+    """Hashes that add up weighted bytes modulo 2**64 can't tell these words apart."""
+    one, two = thue_morse(n), thue_morse(n, "b", "a")
+    w = Words([f"{one} {two}".encode()])
+    assert len(set(w.hashes().tolist() + w.hashes(1).tolist())) == 4
+    letters = Words([" ".join(x).encode() for x in (one, two)])
+    for which in (0, 1):
+        a, b = letters.windows(n, which)[[0, n]].tolist()
+        assert a != b
+    rows = [(1, " ".join([one] * 9)), (2, " ".join([two] * 9)), (3, " ".join([one] * 9))]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=3, percent=85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 2, 3: 1}
+
+
+def test_hashes_see_every_byte():
+    base = bytes(97 + k % 26 for k in range(600))
+    words = {base[:n] for n in range(1, 601)} | {base[:k] + b"#" + base[k + 1 :] for k in range(600)} | {base[:40][:k] + b"#" + base[:40][k + 1 :] for k in range(40)}
+    w = Words([b" ".join(sorted(words))])
+    for which in (0, 1):
+        assert len(set(w.hashes(which).tolist())) == len(words)
+    # the same word hashes alike wherever it stands
+    again = Words([b"x " + b" ".join(sorted(words))])
+    assert (again.hashes()[1:] == w.hashes()).all()
+
+
+def test_many_rows_without_ids(spark):
+    """Each is a document of its own; no join brings them together."""
+    texts = [f"alpha{k} beta{k} gamma{k} delta{k}" for k in range(5000)]
+    rows = [(None, t) for t in texts] + [(1, "one two three four"), (2, "one two three four"), (3, texts[0])]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=3, percent=85).collect()
+    assert sum(r["doc_id"] is None for r in got) == 5000 and sum(r["doc_id"] is None and r["kept"] for r in got) == 5000
+    assert {r["doc_id"]: (r["component_id"], r["kept"]) for r in got if r["doc_id"]} == {1: (1, True), 2: (1, False), 3: (None, False)}
+
+
+def test_ids_that_are_no_numbers(spark):
+    one, two = (" ".join(f"{x}{i}" for i in range(9)) for x in "ab")
+    rows = [("z", one, 0, 1), ("b", one, 0, 2), ("é", two, 0, 3), (None, None, 0, 4)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id string, text string, d int, comp int"), words=3, percent=85).collect()
+    assert {r["doc_id"]: (r["component_id"], r["kept"]) for r in got} == {"z": ("b", False), "b": ("b", True), "é": ("é", True), None: (None, True)}
+
+
+@pytest.mark.parametrize("task", [300, 2000])
+def test_a_component_of_many_chunks(spark, task):
+    """Hundreds of near copies in the same buckets, and strangers that share a part with them."""
+    rng = random.Random(11)
+    base, rows = [f"w{k}" for k in range(60)], []
+    for i in range(150):
+        words = list(base)
+        for _ in range(rng.randrange(0, 9)):
+            words[rng.randrange(60)] = f"x{rng.randrange(9)}"
+        rows.append((i, " ".join(words)))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=3, percent=85, task_shingles=task).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == plain(rows, 3, 85)

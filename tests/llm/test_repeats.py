@@ -45,10 +45,10 @@ def test_substring(docs, rows, length):
         assert spread(r["removed"]) == gone[i]
 
 
-@pytest.mark.parametrize(("length", "prefix"), [(50, 16), (12, 12), (20, 3)])
-def test_suffix_array(docs, rows, length, prefix):
+@pytest.mark.parametrize(("length", "prefix", "run_rows"), [(50, 16, 50_000), (12, 12, 50_000), (20, 3, 50_000), (20, 3, 7)])
+def test_suffix_array(docs, rows, length, prefix, run_rows):
     words, gone, twice = plain(rows, length)
-    for r in suffix_array_dedup(docs, length=length, prefix=prefix).collect():
+    for r in suffix_array_dedup(docs, length=length, prefix=prefix, run_rows=run_rows).collect():
         i = r["doc_id"]
         assert (r["n_words"], r["n_removed"], r["n_repeated"]) == (len(words[i]), len(gone[i]), len(twice[i]))
         assert r["kept_sha256"] == kept_sha(words[i], gone[i])
@@ -80,3 +80,50 @@ def test_parameters():
         cover_anchors(5)
     with pytest.raises(ValueError):
         minimiser_anchors(10, 16)
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_that_cancel_out_in_sums(spark, n):
+    """Words of two letters in the Thue-Morse order, and their complements, are different words."""
+    one = "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+    two = one.translate({97: "b", 98: "a"})
+    tail = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, f"{one} {tail}"), (2, f"{two} {tail}"), (3, " ".join([one, two] * 30)), (4, " ".join([two, one] * 30))]
+    for op, length in ((substring_dedup, 20), (suffix_array_dedup, 50)):
+        words, gone, _ = plain(rows, length)
+        for r in op(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+            assert spread(r["removed"]) == gone[r["doc_id"]] and r["n_removed"] == len(gone[r["doc_id"]])
+
+
+def test_left_sides_that_alternate(spark):
+    """Suffixes that sort next to each other have different left sides; their equals stand apart."""
+    middle = " ".join(f"m{k}" for k in range(30))
+    lefts = [" ".join(f"{c}{k}" for k in range(15)) for c in "xyz"]
+    rights = [" ".join(f"{c}{k}" for k in range(15)) for c in "pqr"]
+    rows = [(i, f"{lefts[i % 3]} {middle} {rights[i % 2]}") for i in range(12)]
+    words, gone, twice = plain(rows, 50)
+    for run_rows in (50_000, 2):
+        for r in suffix_array_dedup(spark.createDataFrame(rows, "doc_id long, text string"), run_rows=run_rows).collect():
+            assert spread(r["removed"]) == gone[r["doc_id"]] and spread(r["repeated"]) == twice[r["doc_id"]]
+
+
+def test_ids_texts_and_names(spark):
+    """Ids that are strings, a very long text, other columns named like those of the result."""
+    text = " ".join(f"w{k}" for k in range(60))
+    long = "x" * 300_000 + " " + text + " " + " ".join(f"v{k}" for k in range(40_000))
+    rows = [("b", text, 1, 1), ("a", long, 2, 2), (None, "short", 3, 3), ("c", "y" * 2_000_000, 4, 4)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, n_words int, d int")
+    for op in (substring_dedup, suffix_array_dedup):
+        got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in op(docs).collect()}
+        assert got == {"a": (40_061, 0), "b": (60, 60), None: (1, 0), "c": (1, 0)}
+
+
+def test_common_words():
+    import numpy as np
+
+    from quernlex.llm.repeats import common_words
+
+    texts = [b"", b"a ", b"a b ", b"a b c ", b"a bc ", b"a bc ", b"ab "]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    size = np.array(list(map(len, texts)))
+    assert common_words(data, np.cumsum(size) - size, size).tolist() == [0, 0, 1, 2, 1, 2, 0]
