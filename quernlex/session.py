@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
-import time
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,11 +23,14 @@ def ship(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names, which driver and executors share.
 
-    Only where none is set, as in tests on one machine, a temporary folder takes its place.
+    Where none is set, a temporary folder takes its place on a local master; on a cluster, whose
+    executors can't see the driver's folders, that is an error.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quernlex-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -40,22 +41,26 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Spark's setting by which the exchanges of a finished query are removed from disk.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df read back from a compressed table in the shared folder, with its lineage cut."""
+    """df read back from a compressed table in the shared folder, with its lineage cut and its exchanges removed."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def released(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove the exchanges of plans that nothing refers to any more."""
-    for _ in range(2):  # Python's references reach the JVM after a while
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data folder, by Spark's own reader (any file system)."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
