@@ -10,6 +10,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
+
+from quernlex.llm.components import salt
+from quernlex.session import written
 
 
 def content_hash(text: Column) -> Column:
@@ -21,13 +25,14 @@ def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     stays: "smallest" or "largest" id. A null text counts as empty; rows with a null id stay
     only where no copy has an id. Rows repeated with one id are told apart by their other
-    columns, and equal rows count as one. Column names may be any.
+    columns, and equal rows count as one. Column names may be any; columns that have no order
+    (maps) aren't told apart by. An empty table gives an empty one.
     """
     ids = F.col(id_col)
     rank = F.struct(
         ids.isNotNull().alias("has") if stays == "largest" else ids.isNull().alias("has"),
         ids.alias("id"),
-        *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in (id_col, text_col)],
+        *[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(docs.schema.fields) if f.name not in (id_col, text_col) and not isinstance(f.dataType, MapType)],
         F.col(text_col).isNull().alias("null_text"),
     )
     pick = F.max_by if stays == "largest" else F.min_by
@@ -49,7 +54,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Of equal texts (null counts as empty, nothing is normalised) the row with the smallest or,
     with stays="largest", the largest id stays. A null id never beats another; a group of null
     ids only has a null keep_id and keeps one of its rows. Of rows repeated with the id that
-    stays, one is kept. Empty tables give no rows. Other columns of docs are not read.
+    stays, one is kept. Texts may be of any length. Empty tables give no rows. Other columns of
+    docs are not read, so their names may be any.
+
+    A group's copies are dealt to several places by their ids and, as ids may be null or
+    repeated, by the input partition that they come from; what is known of the group goes to each place.
     """
     body = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), body.alias("body"), content_hash(body).alias("h"))
@@ -60,9 +69,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .agg(pick("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .select("h", sha.alias("text_sha256"), "keep_id", "group_size")
     )
-    members = rows.select("doc_id", "h", sha.alias("text_sha256"))
-    joined = members.join(groups, ["h", "text_sha256"])
-    best = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    # which of the rows repeated with one id is the one: a small group, never a group of copies
-    turn = F.row_number().over(Window.partitionBy("text_sha256", "doc_id").orderBy("h"))
+    # written down, so that the partition numbers that the places go by are the same for both its uses
+    members = written(rows.select("doc_id", "h", sha.alias("text_sha256"), salt(F.col("doc_id"), F.spark_partition_id()).alias("place")))
+    places = members.groupBy("h", "text_sha256", "place").agg(pick("doc_id").alias("best")).join(groups, ["h", "text_sha256"])
+    # of the places, at most SALTS for a group, the first that has the id that stays
+    has = F.when(F.col("best").eqNullSafe(F.col("keep_id")), F.col("place"))
+    places = places.withColumn("owner", F.min(has).over(Window.partitionBy("h", "text_sha256"))).drop("best")
+    joined = members.join(places, ["h", "text_sha256", "place"])
+    # which of the rows repeated with one id is the one: part of a group of copies only where ids repeat
+    best = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("place") == F.col("owner"))
+    turn = F.row_number().over(Window.partitionBy("h", "text_sha256", "place", "doc_id").orderBy("place"))
     return joined.select("doc_id", "keep_id", "group_size", (best & (turn == 1)).alias("kept"), "text_sha256")
