@@ -2,9 +2,17 @@
 
 Targets come from the weights by filling to capacity. The blocks of the mix are then dealt to
 the sources, and each source's blocks to its shards, by the highest quotients of the divisors
-1, 3, 5, ...: integer quotas that add up. In a shard, the documents stand on one line of
-tokens in seeded order; the shard's quota of blocks is a run of whole rounds of that line and
-a seeded arc of it. Everything is DataFrame operations; only (id, source, size) is shuffled.
+1, 3, 5, ...: integer quotas that add up. A source's shards are dealt to by way of racks of
+RACK shards each, so no step ranks all shards of a source at once. In a shard, the documents
+stand on one line of tokens in seeded order, which is cut into blocks; the shard's quota of
+blocks is a number of whole rounds of the line and, for the remainder, the blocks that follow
+each other from a seeded one on. So blocks are selected by one draw for each shard from documents
+shuffled before, not by a draw for each block. Everything is DataFrame operations; only (id,
+source, size, a hash of the text) is shuffled.
+
+Rows that are alike in id, source, size and text are counted before the shuffle and laid on the line
+together, in portions of at most PORTION rows, so that any number of rows without ids is dealt
+to as many shards as their tokens are worth. Rows without tokens need no shard.
 """
 
 from __future__ import annotations
@@ -18,6 +26,8 @@ WEIGHTS = (3.0, 1.0, 2.0)
 BLOCK_TOKENS = 8
 SHARD_TOKENS = 1_000_000
 SEED = 20_011
+#: Shards of a source that are ranked at once, and rows alike that are laid on a line at once.
+RACK, PORTION = 1024, 1000
 
 
 def word_count(text: Column) -> Column:
@@ -91,6 +101,14 @@ def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tu
     return per.select("source", "source_size", "place", target.alias("target"))
 
 
+def _dealt(shards: DataFrame) -> DataFrame:
+    """shards (place, shard, shard_size, source_quota) with quota: racks of a source first, then shards of a rack."""
+    racked = shards.withColumn("rack", F.floor(F.col("shard") / RACK).cast("int"))
+    racks = racked.groupBy("place", "rack", "source_quota").agg(F.sum("shard_size").alias("rack_size"))
+    racks = apportion(racks, ["place"], "source_quota", "rack_size", [F.col("rack")]).select("place", "rack", F.col("quota").alias("rack_quota"))
+    return apportion(racked.drop("source_quota").join(racks, ["place", "rack"]), ["place", "rack"], "rack_quota", "shard_size", [F.col("shard")])
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -109,40 +127,44 @@ def mix(
     document, repeats counted, at most `most` (rounded up) times its size. Null sources are one
     source, the last. Rows with a null or repeated id are documents of their own; equal rows
     may swap their shares, which leaves the same rows. A source without words has target 0.
-    Reruns agree: order and arcs are hashes of ids and the seed, never row positions.
+    Empty tables give no rows; texts may be of any length; other columns are not read, so their
+    names may be any. Reruns agree: order and selection are hashes of ids, texts and the seed,
+    never row positions. Sources, not documents, are listed in one place.
     """
     text = F.col(text_col)
-    sizes = checkpoint(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).alias("source"),
-            word_count(text).alias("size"),
-            F.xxhash64(F.col(id_col), F.lit(seed)).alias("draw"),
-            F.xxhash64(text).alias("body"),
-        )
+    alike = ["doc_id", "source", "size", "body"]
+    counted = checkpoint(
+        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("body")).groupBy(*alike).agg(F.count(F.lit(1)).alias("copies"))
     )
-    goal = targets(sizes, share, most, weights).withColumn("n_shards", F.ceil(F.greatest(F.col("source_size"), F.lit(1)) / shard_tokens).cast("int"))
+    goal = targets(counted.withColumn("size", F.col("size") * F.col("copies")), share, most, weights)
+    goal = goal.withColumn("n_shards", F.ceil(F.greatest(F.col("source_size"), F.lit(1)) / shard_tokens).cast("int"))
     blocks = F.greatest(F.lit(0), F.round(F.sum("target").over(Window.partitionBy(F.lit(0))) / block_tokens)).cast("long")
     goal = apportion(goal.withColumn("seats", blocks), [], "seats", "target", [F.col("place")]).withColumnRenamed("quota", "source_quota")
     # the keys of a source are never null: its place stands for it from here on
-    named = sizes.join(goal.select(F.col("source").alias("s"), "place", "source_size", "target", "n_shards"), F.col("source").eqNullSafe(F.col("s")))
-    placed = named.withColumn("shard", F.pmod(F.xxhash64("draw", F.lit(seed + 1)), F.col("n_shards")).cast("int"))
-    shards = placed.groupBy("place", "shard").agg(F.sum("size").alias("shard_size"))
-    shards = shards.join(goal.select("place", "source_quota"), "place")
-    shards = apportion(shards, ["place"], "source_quota", "shard_size", [F.col("shard")])
+    named = counted.join(goal.select(F.col("source").alias("s"), "place", "source_size", "target", "n_shards"), F.col("source").eqNullSafe(F.col("s")))
+    number = F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / PORTION))
+    placed = named.withColumn("portion", F.explode(number)).withColumn("n", F.least(F.lit(PORTION), F.col("copies") - F.col("portion") * PORTION).cast("int"))
+    placed = placed.withColumn("draw", F.xxhash64("doc_id", "body", "portion", F.lit(seed))).withColumn("length", F.col("size") * F.col("n"))
+    bare = placed.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), "n")
+    placed = placed.where("size > 0").withColumn("shard", F.pmod(F.xxhash64("draw", F.lit(seed + 1)), F.col("n_shards")).cast("int"))
+    shards = placed.groupBy("place", "shard").agg(F.sum("length").alias("shard_size"))
+    shards = _dealt(shards.join(goal.select("place", "source_quota"), "place"))
     line = F.ceil(F.col("shard_size") / block_tokens).cast("long")
     quota = F.least(F.col("quota"), F.floor(line * F.lit(float(most))))
     shards = shards.select(
         "place",
         "shard",
         (line * block_tokens).alias("ring"),
-        F.when(line > 0, F.floor(quota / line)).otherwise(0).alias("rounds"),
-        F.when(line > 0, (quota % line) * block_tokens).otherwise(0).alias("arc"),
-        F.when(line > 0, F.pmod(F.xxhash64("place", "shard", F.lit(seed + 2)), line) * block_tokens).otherwise(0).alias("from"),
+        F.floor(quota / line).alias("rounds"),
+        ((quota % line) * block_tokens).alias("arc"),
+        (F.pmod(F.xxhash64("place", "shard", F.lit(seed + 2)), line) * block_tokens).alias("from"),
     )
-    seeded = Window.partitionBy("place", "shard").orderBy("draw", "doc_id", "body", "size")
-    ends = F.sum("size").over(seeded.rowsBetween(Window.unboundedPreceding, 0))
-    laid = placed.withColumn("z", ends).withColumn("a", F.col("z") - F.col("size")).join(shards, ["place", "shard"])
+    seeded = Window.partitionBy("place", "shard").orderBy("draw", "doc_id", "body", "size", "portion")
+    ends = F.sum("length").over(seeded.rowsBetween(Window.unboundedPreceding, 0))
+    laid = placed.withColumn("begin", ends - F.col("length")).join(shards, ["place", "shard"])
+    # each row of a portion has its own place on the line
+    laid = laid.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("a", F.col("begin") + F.col("copy") * F.col("size"))
+    laid = laid.withColumn("z", F.col("a") + F.col("size"))
 
     def overlap(lo: Column, hi: Column) -> Column:
         return F.greatest(F.lit(0), F.least(F.col("z"), hi) - F.greatest(F.col("a"), lo))
@@ -150,4 +172,6 @@ def mix(
     end = F.col("from") + F.col("arc")
     picked = overlap(F.col("from"), F.least(end, F.col("ring"))) + F.when(end > F.col("ring"), overlap(F.lit(0), end - F.col("ring"))).otherwise(0)
     taken = (F.col("rounds") * F.col("size") + picked).cast("long")
-    return laid.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    out = ["doc_id", "size", "source_size", "target", "taken"]
+    bare = bare.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n")))).select(*out)
+    return laid.withColumn("taken", taken).select(*out).union(bare)

@@ -93,6 +93,42 @@ def test_mix(docs, rows, odd, empty):
     assert mix(odd).count() == 7 and mix(empty).count() == 0
 
 
+def test_mix_of_rows_without_ids(spark):
+    """Thousands of rows without an id, most of them alike, are dealt over many shards."""
+    rows = [(None, "a b c d e", "s")] * 3000 + [(None, None, "s")] * 2000 + [(k, f"x{k} y", "t") for k in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = mix(docs, shard_tokens=400).collect()
+    assert Counter((r["doc_id"], r["size"]) for r in got) == Counter((i, len((t or "").split())) for i, t, _ in rows)
+    for source in (15_000, 1000):
+        mine = [r for r in got if r["source_size"] == source]
+        assert all(0 <= r["taken"] <= 2 * r["size"] for r in mine) and mine[0]["target"] == (22_000.0 if source == 15_000 else 2000.0)
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) < 0.01 * mine[0]["target"] + 50
+    again = mix(docs.repartition(7), shard_tokens=400).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+
+
+def test_mix_by_racks(spark, docs, monkeypatch):
+    from quernlex.llm import mixing
+
+    monkeypatch.setattr(mixing, "RACK", 3)
+    got = mix(docs, block_tokens=4, shard_tokens=100).collect()
+    assert all(0 <= r["taken"] <= 2 * r["size"] for r in got)
+    for target in {r["target"] for r in got}:
+        mine = [r for r in got if r["target"] == target]
+        assert abs(sum(r["taken"] for r in mine) - target) < 0.06 * target + 12
+
+
+def test_exact_dedup_deals_out_copies(spark):
+    """Many copies, most without an id or with one id; one row stays."""
+    rows = [(None, "")] * 3000 + [(7, "")] * 50 + [(k, "t") for k in range(2000)] + [(1999, "t")] * 3 + [(None, "u")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = exact_dedup(docs, stays="largest").collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in rows)
+    kept = sorted(((r["doc_id"], r["keep_id"], r["group_size"]) for r in got if r["kept"]), key=str)
+    assert kept == sorted([(7, 7, 3050), (1999, 1999, 2003), (None, None, 5)], key=str)
+    assert sorted((r["doc_id"] for r in exact_dedup(docs).collect() if r["kept"]), key=str) == sorted([7, 0, None], key=str)
+
+
 def test_apportion_is_sainte_lague(spark):
     import random
 
