@@ -115,15 +115,17 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], langs: list[str], seed
 def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_rows: int) -> Model:
     """A model of a bounded sample of the documents that may be learned from.
 
-    Those have crc32(id as text) mod 4 other than 2, an id, a language and a letter. Without
-    any, the model knows no language and every text is unknown.
+    Those have crc32(id as text) mod 4 other than 2, an id, a language and a letter; of rows that
+    share an id the one with the least language and text is taken, so there are sample_rows rows
+    at most. Without any, the model knows no language and every text is unknown.
     """
     crc = fold_number(F.col(id_col))
     lettered = F.regexp_like(F.col(text_col), F.lit(r"\p{L}"))
     may = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & (crc % 4 != 2))
-    ids = may.select(F.col(id_col).alias("i")).orderBy(F.xxhash64("i"), "i").limit(sample_rows).distinct()
+    ids = may.where(lettered).select(F.col(id_col).alias("i")).distinct().orderBy(F.xxhash64("i"), "i").limit(sample_rows)
     # at most sample_rows ids: their size is bounded, so they may be broadcast
-    sample = may.select(F.col(id_col).alias("i"), F.col(lang_col).alias("lang"), F.col(text_col).alias("t")).where(lettered).join(F.broadcast(ids), "i")
+    sample = may.select(F.col(id_col).alias("i"), F.col(lang_col).alias("lang"), F.col(text_col).alias("t"), lettered.alias("lettered")).where("lettered").join(F.broadcast(ids), "i")
+    sample = sample.groupBy("i").agg(F.min(F.struct("lang", "t")).alias("s")).select("i", "s.lang", "s.t")
 
     def make():
         def work(texts: list[bytes | None]) -> list[list]:

@@ -30,8 +30,8 @@ FOLDS = 5
 THRESHOLD = 0.3
 #: A term needs so many toxic documents of the sample, copies aside.
 LEAST_DOCS = 3
-#: The most terms that are weighed, those in the most toxic documents first.
-MOST_TERMS = 50_000
+#: The lexicon's size: the most terms that are weighed, those in the most toxic documents of the sample first.
+LEXICON_TERMS = 50_000
 #: The least log-likelihood ratio of a term that is learned.
 LEAST_RATIO = 12.0
 #: Shares of toxic documents, estimated with care, that make a term weak, fair or strong evidence.
@@ -215,11 +215,12 @@ class Model:
         return self.isotonic.apply(self.boosted.predict(x))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int, lexicon_terms: int = LEXICON_TERMS) -> Model:
     """A model of the labelled rows that may be learned from.
 
     Those have crc32(id as text) mod 4 other than 2. Of ids labelled twice the larger label
-    holds; null labels, and labels without a document, teach nothing. Without labels of both
+    holds, of documents that share an id the one with the least text; so there is a row for each
+    id, sample_rows at most. Null labels, and labels without a document, teach nothing. Without labels of both
     kinds every score is the rate of label 1 (0 without any).
     """
     spark = docs.sparkSession
@@ -231,6 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     chosen = known.orderBy(F.xxhash64("i"), "i").limit(sample_rows)
     fold = F.floor(fold_number(F.col("i")) / 4) % FOLDS
     sample = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(chosen), "i")
+    sample = sample.groupBy("i", "y").agg(F.min("t").alias("t"))
     sample = checkpoint(sample.select("i", "y", fold.cast("int").alias("fold"), "t"))
 
     def toxic_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +259,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     found = sample.where("y = 1").select("fold", "t").mapInArrow(toxic_terms, "term long, place long, fold int")
     found = found.groupBy("term", "place").agg(F.min("fold").alias("fold")).groupBy("term")
     found = found.agg(F.count(F.lit(1)).alias("n"), *[F.count(F.when(F.col("fold") == k, 1)).alias(f"f{k}") for k in range(FOLDS)])
-    top = found.where((F.col("n") >= LEAST_DOCS) & (F.col("term") != 0)).orderBy(F.col("n").desc(), "term").limit(MOST_TERMS).collect()
+    top = found.where((F.col("n") >= LEAST_DOCS) & (F.col("term") != 0)).orderBy(F.col("n").desc(), "term").limit(lexicon_terms).collect()
     keys = np.array([r["term"] for r in top], np.int64).view(_U)
     order = np.argsort(keys)
     keys = keys[order]
@@ -329,7 +331,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """One row per row of docs: doc_id, held_out, score, predicted.
 
     held_out: crc32(id as text) mod 4 is 2 (a null id counts as empty); such rows teach nothing.
-    The score is of the whole text alone; null and empty texts get one too. Ids may be repeated.
+    The score is of the whole text alone; null and empty texts get one too. Ids may be null or
+    repeated, texts of any length. Empty tables give no rows, and without labels of both kinds the
+    score is their rate. Other columns are not read, so their names may be any.
     """
     out = _scored(docs, labels, id_col, text_col, label_col, sample_rows, [id_col])
     return out.select(

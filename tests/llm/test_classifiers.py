@@ -121,3 +121,13 @@ def test_boosting_and_calibration():
     iso = Isotonic(score, rng.random(4000) < score**2)
     grid = iso.apply(np.linspace(0, 1, 50))
     assert (np.diff(grid) > 0).all() and np.abs(grid - np.linspace(0, 1, 50) ** 2).max() < 0.12
+
+
+def test_a_table_of_one_id(spark):
+    """All rows share an id: the sample has one row, whatever their number."""
+    docs = spark.createDataFrame([(1, f"hello there number {k}", "en" if k % 2 else "de") for k in range(4000)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(1, 1)] * 50, "doc_id long, toxic int")
+    scored = toxicity(docs, labels)
+    assert scored.count() == 4000 and {r["score"] for r in scored.collect()} <= {0.0, 1.0} | {r["score"] for r in scored.collect()}
+    named = languages(docs).collect()
+    assert len(named) == 4000 and {r["lang_pred"] for r in named} == {"de"}

@@ -62,7 +62,7 @@ def test_token_counts_of_odd_texts(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    texts = ["<|endoftext|> a<|startoftext|>", "it's DON'T we'll ''s", "日本語 ١٢ Ǆ İ", "é   x", "a<|b", "½²³ ª º", "😀 ok", "\x1c\x1f\x85 b"]
+    texts = ["he said “don’t” — and left… at 5€", "naïve café\u0301 ﬁne", "x\u00a0y\u2003z \u3000w", "a\x0bb\x0cc\rd", "ΑΣ ΣΑΣ ẞ", "<|endoftext|>"*3 + " <|ENDOFTEXT|> <| endoftext|>", "e\n\u0301 x\u200b y", "z" * 5000, "<|endoftext|> a<|startoftext|>", "it's DON'T we'll ''s", "日本語 ١٢ Ǆ İ", "é   x", "a<|b", "½²³ ª º", "😀 ok", "\x1c\x1f\x85 b"]
     got = token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["n_tokens"] for r in got} == {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in enumerate(texts)}
 
@@ -188,6 +188,61 @@ def test_contamination(spark, docs, rows, odd, empty):
     assert contamination(odd, bench.where("false")).where("n_items > 0").count() == 0
 
 
+def test_contamination_by_a_large_benchmark(spark, tmp_path):
+    """50 MB of benchmark, searched for in parts, against every window of it."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    import random
+
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 8))) for _ in range(3000)]
+    items = []
+    while sum(len(t) for _, t in items[-1:]) + len(items) * 50_000 < 50_000_000:
+        items.append((f"i{len(items)}", " ".join(rng.choices(vocabulary, k=9200))[:50_000]))
+    pq.write_table(pa.table({"item_id": [i for i, _ in items], "text": [t for _, t in items]}), tmp_path / "benchmark.parquet")
+    texts = []
+    for k in range(60):
+        words = rng.choices(vocabulary, k=rng.randrange(1, 200))
+        for _ in range(k % 4):
+            _, t = rng.choice(items)
+            at, n = rng.randrange(9000), rng.randrange(6, 30)
+            words += t.split()[at : at + n] + rng.choices(vocabulary, k=5)
+        texts.append((k, " ".join(words)))
+    texts += [(100, None), (101, "")]
+    # the windows of the documents, looked up while the benchmark goes by
+    at = defaultdict(list)
+    for k, t in texts:
+        w = PLAIN.findall(t or "")
+        for s in range(len(w) - 7):
+            at[tuple(w[s : s + 8])].append((k, s))
+    firsts = {w[:3] for w in at}
+    hit, ids = defaultdict(set), defaultdict(set)
+    for i, t in items:
+        w = t.split()
+        for s in range(len(w) - 7):
+            if (w[s], w[s + 1], w[s + 2]) in firsts:
+                for k, p in at.get(tuple(w[s : s + 8]), ()):
+                    hit[k].update(range(p, p + 8))
+                    ids[k].add(i)
+    bench = spark.read.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["items_sha256"]) for r in contamination(spark.createDataFrame(texts, "doc_id long, text string"), bench).collect()}
+    assert got == {k: (len(hit[k]), len(ids[k]), sha(",".join(sorted(ids[k])))) for k, _ in texts}
+    assert sum(map(bool, ids.values())) > 30
+
+
+def test_contamination_odd_tables(spark):
+    rows = [("a", "the quick brown fox jumps over it all today", 1, "x"), (None, None, None, None), ("a", "", 2, "y")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, n_items int, hits string")
+    items = [(1, "quick brown fox jumps over it all today"), (1, "quick brown fox jumps over it all today"), (None, "the quick brown fox jumps over it all"), (2, None), (3, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for part_bytes in (1 << 20, 20):
+        got = sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"]) for r in contamination(docs, bench, part_bytes=part_bytes).collect()), key=str)
+        assert got == sorted([("a", 9, 9, 2), (None, 0, 0, 0), ("a", 0, 0, 0)], key=str)
+        kept = without_contaminated(docs, bench, part_bytes=part_bytes)
+        assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=str) == sorted(map(tuple, rows[1:]), key=str)
+
+
 def test_license_base(spark, odd, empty):
     texts = [
         "Released under the MIT License.", "under the mit license, UNDER-THE-MIT-LICENSE", "Apache License, Version 2.0", "apache license version 20",
