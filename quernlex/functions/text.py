@@ -29,7 +29,7 @@ def squashed(text: Column) -> Column:
 
 def normal_act(name: Column) -> Column:
     """An Act's name without jurisdiction and "the", squashed and lower-cased."""
-    out = F.regexp_replace(name, r"(?i)\((?:Cth|Vic|NSW|Qld|SA|WA|Tas|ACT|NT)\)", " ")
+    out = F.regexp_replace(name, r"\((?:Cth|Vic|NSW|Qld|SA|WA|Tas|ACT|NT)\)", " ")
     return F.lower(squashed(F.regexp_replace(out, r"(?iU)\bthe\b", " ")))
 
 

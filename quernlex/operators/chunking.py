@@ -167,20 +167,29 @@ def merged(parts: DataFrame, texts: DataFrame, least: int = LEAST) -> DataFrame:
     return folded(groups, "g", F.max_by).drop("g")
 
 
+def _cut_after(text: str, at: int, limit: int) -> int:
+    """The best place before `limit` to end a piece that begins at `at`: after a line, a word, or where it has to be."""
+    for end in ("\n", " "):
+        place = text.rfind(end, at + 1, limit)
+        if place >= 0:
+            return place + 1
+    return limit
+
+
 def _pieces(text: str, most: int) -> list[tuple[int, int]]:
-    """Ranges of at most `most` characters: cut before a late subsection, else after a newline, a space, or anywhere."""
-    starts, stops = zip(*((m.start(), m.end()) for m in SUBSECTION.finditer(text)), strict=True) if SUBSECTION.search(text) else ((), ())
-    out, at = [], 0
-    while len(text) - at > most:
-        limit = at + most
-        k = bisect_right(stops, limit) - 1
-        if k >= 0 and starts[k] - at >= max(1, most // 4):
-            cut = starts[k]
-        else:
-            cut = (text.rfind("\n", at + 1, limit) + 1) or (text.rfind(" ", at + 1, limit) + 1) or limit
-        out.append((at, cut))
-        at = cut
-    return [*out, (at, len(text))]
+    """Ranges of at most `most` characters.
+
+    A piece ends before the last subsection whose number it would hold whole, if that leaves it a
+    quarter of `most` or more; else after its last line, word, or anywhere.
+    """
+    numbers = [(m.end(), m.start()) for m in SUBSECTION.finditer(text)] if len(text) > most else []
+    edges = [0]
+    while len(text) - edges[-1] > most:
+        at, limit = edges[-1], edges[-1] + most
+        before = bisect_right(numbers, (limit, len(text)))
+        start = numbers[before - 1][1] if before else -1
+        edges.append(start if start >= at + max(1, most // 4) else _cut_after(text, at, limit))
+    return list(zip(edges, [*edges[1:], len(text)], strict=True))
 
 
 def chunks(pages: DataFrame, most: int = MOST, least: int = LEAST) -> DataFrame:

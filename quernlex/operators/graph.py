@@ -52,7 +52,9 @@ def expand(results: DataFrame, queries: DataFrame, index: DataFrame, most_refere
     at = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "refpos"))
     cited = cited.withColumn("n", at).where(F.col("n") <= most_references).select("query_id", "ordinal", F.lit("cross_reference").alias("expansion"), "expansion_reason", "n")
 
-    terms = extraction.definitions(index.select("ordinal", "document_name", "text"), ["ordinal", "document_name"])
+    # only documents among the results can define anything here
+    among = index.select("ordinal", "document_name", "text").join(hits.select("document_name").distinct(), "document_name", "left_semi")
+    terms = extraction.definitions(among, ["ordinal", "document_name"])
     terms = terms.withColumn("pattern", term_pattern(F.col("term")))
     bodies = hits.groupBy("query_id", "document_name").agg(F.min("rank").alias("seen"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), " ").alias("body"))
     asked = bodies.join(queries.select("query_id", F.col("text").alias("question")), "query_id")

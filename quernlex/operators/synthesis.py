@@ -12,7 +12,25 @@ from quernlex.operators.extraction import key_terms
 # Terms too common to name a section.
 WEAK_TERMS = "not under that they their them which what there here this with without than then some any each other must may shall will would".split()
 FACT_FORMS = ("What does the {d} say about {t}?", "What rule does the {d} set out for {t}?")
+# The questions that an evaluation set begins with, and the forms and topics of all others.
+HYPOTHETICAL = (
+    "Can an employer require an employee to work overtime?",
+    "How much annual leave is an employee entitled to?",
+    "What are the rules for personal/carer's leave?",
+    "When is an employee entitled to redundancy pay?",
+    "What constitutes unfair dismissal?",
+    "Can employees request flexible working arrangements?",
+    "How much notice is required to terminate employment?",
+    "How often must employees be paid?",
+)
 TOPICS = ("leave", "hours", "pay", "termination", "agreement")
+TOPIC_FORMS = ("What are the rules regarding {t} in the Fair Work Act?", "Explain the provisions about {t}", "How does the Act handle {t}?")
+CROSS_REFERENCE = (
+    ("According to the definition of 'employee', what conditions must be met?", ("definition", "employee")),
+    ("What is the definition of 'modern award' and where is it referenced?", ("definition", "modern award")),
+    ("How do sections 31 and 32 interact regarding national employment standards?", ("section_31", "section_32")),
+)
+CONNECTION = "How are the provisions about unfair dismissal connected to other relevant sections?"
 SEED = 17
 
 
@@ -46,15 +64,23 @@ def fact_queries(chunks: DataFrame, count: int, seed: int = SEED) -> DataFrame:
     )
 
 
-def filled_queries(spark: SparkSession, count: int, kind: str, document: str) -> DataFrame:
-    """Questions on topics (hypothetical) or links (cross-reference) that expect one document."""
+def filled_queries(spark: SparkSession, count: int, kind: str, document: str, seed: int = SEED) -> DataFrame:
+    """Questions that expect one document: the fixed ones of their kind, then topics in forms drawn by seeded hashes
+    (hypothetical) or one question again and again (cross-reference)."""
+    none = F.array().cast("array<string>")
+    numbered = spark.range(count)
+    i = F.col("id").cast("int")
     if kind == "hypothetical":
-        text = F.concat(F.lit("Explain the provisions about "), F.element_at(F.array(*map(F.lit, TOPICS)), (F.col("id") % len(TOPICS) + 1).cast("int")))
+        fixed, expected = HYPOTHETICAL, none
+        filled = [form.format(t=t) for form in TOPIC_FORMS for t in TOPICS]
+        rest = F.element_at(F.array(*map(F.lit, filled)), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(len(filled))).cast("int") + 1)
     else:
-        text = F.lit("How are the provisions on this subject connected with other sections?")
+        fixed, rest = [q for q, _ in CROSS_REFERENCE], F.lit(CONNECTION)
+        expected = F.coalesce(F.get(F.array(*[F.array(*map(F.lit, e)) for _, e in CROSS_REFERENCE]), i), none)
+    text = F.coalesce(F.get(F.array(*map(F.lit, fixed)), i), rest)
     short, level = ("hypo", "medium") if kind == "hypothetical" else ("cross", "hard")
-    return spark.range(count).select(
-        F.concat(F.lit(f"{short}_"), "id").alias("query_id"), text.alias("query_text"), F.lit(kind).alias("query_type"), F.lit(level).alias("difficulty"), F.array().cast("array<string>").alias("expected_sections"), F.array(F.lit(document)).alias("expected_documents")
+    return numbered.select(
+        F.concat(F.lit(f"{short}_"), "id").alias("query_id"), text.alias("query_text"), F.lit(kind).alias("query_type"), F.lit(level).alias("difficulty"), expected.alias("expected_sections"), F.array(F.lit(document)).alias("expected_documents")
     )
 
 

@@ -35,8 +35,9 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four blocks a page, each under a heading."""
-    b = blocks(spark, sf_dir).withColumn("body", F.concat("section_number", F.lit(" Heading of part "), "section_number", F.lit("\n"), "text"))
+    """Four blocks a page, each under a heading and a line of its own words: its number in letters."""
+    name = F.translate("section_number", "0123456789", "abcdefghij")
+    b = blocks(spark, sf_dir).withColumn("body", F.concat("section_number", F.lit(" Heading of "), name, F.lit("\nIn "), name, F.lit(" this holds.\n"), "text"))
     page = F.floor((F.col("section_number").cast("int") - 1) / 4).cast("int") + 1
     rows = F.array_sort(F.collect_list(F.struct("ordinal", "body")))
     return b.groupBy("document_name", page.alias("page_number")).agg(F.array_join(F.transform(rows, lambda x: x["body"]), "\n").alias("text"))
@@ -52,12 +53,29 @@ def line_split_offsets(spark, sf_dir):
 
 
 @query()
-def chunk_materialise(spark, sf_dir):
+def chunk_rows(spark, sf_dir):
     return chunking.chunks(pages(spark, sf_dir))
 
 
 @query(
-    f"WITH {_BLOCKS} SELECT document_name, CAST(sum(length(regexp_replace(section_number || 'Headingofpart' || section_number || text, '\\s+', '', 'g'))) AS BIGINT) AS visible FROM b GROUP BY document_name"
+    f"WITH {_BLOCKS}, t AS (SELECT document_name, CAST(section_number AS INT) AS i, section_number, section_number || ' Heading of ' || translate(section_number, '0123456789', 'abcdefghij') || chr(10) || 'In ' || translate(section_number, '0123456789', 'abcdefghij') || ' this holds.' || chr(10) || text AS body FROM b),"
+    " o AS (SELECT *, coalesce(sum(length(body) + 1) OVER (PARTITION BY document_name ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM t)"
+    " SELECT document_name, section_number, 'Heading of ' || translate(section_number, '0123456789', 'abcdefghij') AS heading, 'section' AS chunk_type, CAST(start AS BIGINT) AS start_char, CAST(start + length(body) AS BIGINT) AS end_char,"
+    " CAST((i - 1) // 4 + 1 AS BIGINT) AS page_number, CAST(length(regexp_replace(body, '\\s+', '', 'g')) AS BIGINT) AS visible FROM o"
+)
+def chunk_materialise(spark, sf_dir):
+    """A section's chunks together: where they begin and end, and the characters in them."""
+    made = chunking.chunks(pages(spark, sf_dir))
+    return made.groupBy("document_name", "section_number", "heading", "chunk_type").agg(
+        F.min("start_char").alias("start_char"),
+        F.max("end_char").alias("end_char"),
+        F.min(F.array_min("page_numbers")).cast("long").alias("page_number"),
+        F.sum(visible_length(F.col("text"))).cast("long").alias("visible"),
+    )
+
+
+@query(
+    f"WITH {_BLOCKS} SELECT document_name, CAST(sum(length(regexp_replace(section_number || 'Headingof' || translate(section_number, '0123456789', 'abcdefghij') || 'In' || translate(section_number, '0123456789', 'abcdefghij') || 'thisholds.' || text, '\\s+', '', 'g'))) AS BIGINT) AS visible FROM b GROUP BY document_name"
 )
 def chunk_partition_invariant(spark, sf_dir):
     made = chunking.chunks(pages(spark, sf_dir))
@@ -77,7 +95,7 @@ def parse_references(spark, sf_dir):
     return refs.select("ordinal", n.alias("n"), "section", "schedule", "act")
 
 
-@query(f"WITH {_BLOCKS} SELECT ordinal, 'widget' || section_number AS term, 'widget' || section_number || ' means a part.' AS definition_text FROM b")
+@query(f"WITH {_BLOCKS} SELECT ordinal, 'widget' || section_number AS term, 'a part.' AS definition_text FROM b")
 def definitions(spark, sf_dir):
     return extraction.definitions(blocks(spark, sf_dir), ["ordinal"]).select("ordinal", "term", "definition_text")
 
@@ -145,16 +163,11 @@ def verify_citations(spark, sf_dir):
 
 
 @query(
-    f"WITH {_BLOCKS}, q AS (SELECT * FROM (VALUES ('a', '1', 'act_3'), ('b', '2', 'none')) t(query_id, s, d))"
-    " SELECT query_id, chunk_id, CASE WHEN s = section_number OR d = document_name THEN 2 ELSE 1 END AS relevance_score FROM q JOIN b ON s = section_number OR d = document_name OR contains(section_number, s)"
+    f"WITH {_BLOCKS}, q AS (SELECT DISTINCT section_number AS s FROM b)"
+    " SELECT 'section_' || s AS query_id, chunk_id, CASE WHEN s = section_number THEN 2 ELSE 1 END AS relevance_score FROM q JOIN b ON contains(section_number, s)"
+    " UNION ALL SELECT 'document_' || document_name, chunk_id, 2 FROM b"
 )
 def auto_annotate(spark, sf_dir):
-    q = spark.createDataFrame([("a", ["1"], ["act_3"]), ("b", ["2"], ["none"])], "query_id string, expected_sections array<string>, expected_documents array<string>")
-    return synthesis.annotate(q, blocks(spark, sf_dir))
-
-
-@query()
-def auto_annotate_whole(spark, sf_dir):
     """A question for each section and one for each document of the blocks."""
     b = blocks(spark, sf_dir)
     none = F.array().cast("array<string>")
@@ -163,30 +176,54 @@ def auto_annotate_whole(spark, sf_dir):
     return synthesis.annotate(sections.unionByName(documents), b)
 
 
-@query("SELECT * FROM (VALUES ('fact', 40::BIGINT), ('hypothetical', 35::BIGINT), ('cross-reference', 25::BIGINT)) t(query_type, n)")
+_ASKED = f"""WITH {_BLOCKS}, n AS (SELECT count(*) AS n, CAST(trunc(CAST(0.4 AS DOUBLE) * count(*)) AS BIGINT) AS fact, CAST(trunc(CAST(0.35 AS DOUBLE) * count(*)) AS BIGINT) AS hypo FROM documents),
+s AS (SELECT count(DISTINCT section_number) AS sections FROM b)"""
+
+
+def _asked(spark, sf_dir, document):
+    """As many test questions as there are documents."""
+    b = blocks(spark, sf_dir)
+    return b, synthesis.evaluation_set(b, table(spark, sf_dir, "documents").count(), document)
+
+
+@query(f"{_ASKED} SELECT 'fact' AS query_type, least(fact, 2 * sections) AS n FROM n, s UNION ALL SELECT 'hypothetical', hypo FROM n UNION ALL SELECT 'cross-reference', n - fact - hypo FROM n")
 def query_type_distribution(spark, sf_dir):
-    q = synthesis.evaluation_set(blocks(spark, sf_dir), 100, "act_3")
+    """Fact questions stop at two for each section."""
+    _, q = _asked(spark, sf_dir, "act_3")
     return q.groupBy("query_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT 60::BIGINT AS n")
+@query(f"{_ASKED} SELECT n - fact AS n FROM n")
 def queries_without_relevant(spark, sf_dir):
-    b = blocks(spark, sf_dir)
-    q = synthesis.evaluation_set(b, 100, "no_such_act")
+    """Fact questions expect a section that there is; the others a document that there isn't."""
+    b, q = _asked(spark, sf_dir, "no_such_act")
     return q.join(synthesis.annotate(q, b), "query_id", "left_anti").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
-    f"WITH {_BLOCKS}, t AS (SELECT DISTINCT section_number, lower(unnest(string_split_regex(text, '[^A-Za-z0-9À-ÿ]+'))) AS term FROM b WHERE section_number IN ('3')) SELECT '3' AS section_number, count(*) FILTER (term = 'widget3') AS n FROM t"
+    f"{_ASKED}, c AS (SELECT count(*) AS chunks FROM b WHERE document_name = 'act_3') SELECT 'hypothetical' AS query_type, hypo * chunks AS n FROM n, c UNION ALL SELECT 'cross-reference', (n - fact - hypo) * chunks FROM n, c"
 )
-def section_term_specificity(spark, sf_dir):
-    b = blocks(spark, sf_dir).withColumn("text", F.concat(F.lit("alpha beta alpha "), F.when(F.col("section_number") == "3", "gamma").otherwise("delta")))
-    t = synthesis.section_terms(b).where("section_number = '3' and place = 1 and term = 'gamma' and n_sections = 1")
-    return t.groupBy("section_number").agg(F.count(F.lit(1)).alias("n"))
+def annotations_of_documents(spark, sf_dir):
+    """Of the questions that expect a document, every chunk of it is relevant."""
+    b, q = _asked(spark, sf_dir, "act_3")
+    notes = synthesis.annotate(q, b).where("relevance_score = 2").join(q.where("query_type <> 'fact'").select("query_id", "query_type"), "query_id")
+    return notes.groupBy("query_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
-def section_term_specificity_whole(spark, sf_dir):
+_SHORT = ", ".join(repr(x) for x in [*extraction.STOP_WORDS])
+_WEAK = ", ".join(repr(x) for x in synthesis.WEAK_TERMS)
+
+
+@query(
+    f"""WITH {_BLOCKS}, w AS (SELECT chunk_id, section_number, unnest(l) AS raw, generate_subscripts(l, 1) AS pos FROM (SELECT chunk_id, section_number, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS l FROM b)),
+    t AS (SELECT chunk_id, section_number, pos, regexp_replace(raw, '^[.,;:!?()"'']+|[.,;:!?()"'']+$', '', 'g') AS term FROM w),
+    c AS (SELECT chunk_id, section_number, term, count(*) AS n, min(pos) AS pos FROM t WHERE length(term) > 2 AND term NOT IN ({_SHORT}) GROUP BY ALL),
+    k AS (SELECT section_number, term FROM c QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY n DESC, pos) <= 30),
+    g AS (SELECT DISTINCT section_number, term FROM k WHERE term <> lower(section_number) AND term NOT IN ({_WEAK}) AND regexp_full_match(term, '\\p{{L}}+([''‐-―]\\p{{L}}+)*')),
+    f AS (SELECT term, count(*) AS n_sections FROM g GROUP BY term)
+    SELECT section_number, term, n_sections, row_number() OVER (PARTITION BY section_number ORDER BY n_sections, term) AS place FROM g JOIN f USING (term)"""
+)
+def section_term_specificity(spark, sf_dir):
     """The terms of every section, from the blocks as they are."""
     t = synthesis.section_terms(blocks(spark, sf_dir))
     return t.select("section_number", "term", F.col("n_sections").cast("long").alias("n_sections"), F.col("place").cast("long").alias("place"))
@@ -234,9 +271,3 @@ def section_score(spark, sf_dir):
 @query(f"{_SECTION} SELECT k, round(avg(CAST(doc_hit AS INT)), 4) AS doc_hit, round(avg(precision), 4) AS precision, round(avg(recall), 4) AS recall, round(avg(rr), 4) AS mrr FROM s GROUP BY k")
 def section_summary(spark, sf_dir):
     return metrics.section_summary(metrics.section_scores(*_section_run(spark, sf_dir))).withColumn("k", F.col("k").cast("long"))
-
-
-@query(f"WITH {_BLOCKS}, p AS (SELECT document_name, max(ordinal % 100000) AS n FROM b GROUP BY ALL) SELECT 1.0::DOUBLE AS hit_1, 1.0::DOUBLE AS hit_3, count(*) AS n FROM p")
-def routing_probe(spark, sf_dir):
-    run, _ = _section_run(spark, sf_dir)
-    return metrics.routing(run, run.select("query_id", F.col("document_name").alias("expected_document")).distinct())

@@ -14,9 +14,7 @@ from quernlex.session import table
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-#: Vectors that serve as queries against all others.
-QUERY_VECTORS = 20
-#: In the queries named _whole, vectors with ids divisible by this ask the whole table.
+#: Vectors with ids divisible by this ask the whole table.
 QUERY_STEP = 50
 DIGITS = 9
 
@@ -54,12 +52,6 @@ def items_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vectors_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ordinal"), "embedding", "label")
-    asked = v.where(F.col("ordinal") < QUERY_VECTORS).select(F.col("ordinal").alias("query_id"), "embedding", "label")
-    return asked, v.where(F.col("ordinal") >= QUERY_VECTORS)
-
-
-def whole_vectors_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Every vector whose id is divisible by QUERY_STEP, and all vectors, the asking ones among them."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ordinal"), "embedding", "label")
     return v.where(F.col("ordinal") % QUERY_STEP == 0).select(F.col("ordinal").alias("query_id"), "embedding", "label"), v
@@ -121,7 +113,7 @@ WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embedding
 n AS (SELECT *, sqrt(list_sum(list_transform(v, lambda a: a * a))) AS norm FROM e),
 s AS (SELECT q.vec_id AS query_id, x.vec_id AS ordinal, x.label,
   round(CASE WHEN q.norm * x.norm > 0 THEN {_DOT} / (q.norm * x.norm) ELSE 0 END, {DIGITS}) AS score
-  FROM n q JOIN n x ON q.vec_id < {QUERY_VECTORS} AND x.vec_id >= {QUERY_VECTORS} AND FILTER),
+  FROM n q JOIN n x ON q.vec_id % {QUERY_STEP} = 0 AND FILTER),
 dense AS (SELECT query_id, ordinal, label, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ordinal) AS rank FROM s QUALIFY rank <= TOP)
 """
 _SCORED = "SELECT query_id, ordinal, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score FROM"
@@ -137,6 +129,7 @@ def _shown(df: DataFrame) -> DataFrame:
 
 @query(f"{_cosine(10)} {_SCORED} dense")
 def cosine_topk(spark, sf_dir):
+    """An asking vector is in the table too, and finds itself."""
     asked, v = vectors_of(spark, sf_dir)
     return _shown(retrieval.cosine_topk(asked, v, 10, digits=DIGITS))
 
@@ -147,24 +140,11 @@ def cosine_topk_filtered(spark, sf_dir):
     return _shown(retrieval.cosine_topk(asked, v, 5, F.col("label") == 3, DIGITS))
 
 
-@query()
-def cosine_topk_whole(spark, sf_dir):
-    """An asking vector is in the table too, and finds itself."""
-    asked, v = whole_vectors_of(spark, sf_dir)
-    return _shown(retrieval.cosine_topk(asked, v, 10, digits=DIGITS))
-
-
-@query()
-def cosine_topk_filtered_whole(spark, sf_dir):
-    asked, v = whole_vectors_of(spark, sf_dir)
-    return _shown(retrieval.cosine_topk(asked, v, 5, F.col("label") == 3, DIGITS))
-
-
 _BM25 = f"""
 {_TOKENS.replace("t AS", "t0 AS")}, n AS (SELECT count(*) AS n_docs FROM documents),
 dl AS (SELECT d.doc_id, d.lang, count(token) AS dl FROM documents d LEFT JOIN t0 USING (doc_id) GROUP BY ALL),
 a AS (SELECT avg(dl) AS avgdl FROM dl),
-f AS (SELECT token, count(DISTINCT doc_id) AS df FROM t0 GROUP BY token),
+f AS (SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> ''))) AS token FROM documents) GROUP BY token),
 r AS (SELECT token, df, ln(n_docs - df + 0.5) - ln(df + 0.5) AS raw FROM f, n),
 i AS (SELECT token, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM r) ELSE raw END AS idf FROM r),
 q AS (SELECT item_id AS query_id, token, count(*) AS qf FROM (SELECT item_id, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS token FROM benchmark) GROUP BY ALL),
@@ -180,7 +160,12 @@ def _bm25(top: int, keep: str = "true") -> str:
     return _BM25.replace("FILTER", keep).replace("TOP", str(top))
 
 
-@query(f"WITH {_bm25(1)} SELECT token, df, round(idf, 6) AS idf FROM i")
+@query(
+    "WITH n AS (SELECT count(*) AS n_docs FROM documents),"
+    " f AS (SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> ''))) AS token FROM documents) GROUP BY token),"
+    " r AS (SELECT token, df, ln(n_docs - df + 0.5) - ln(df + 0.5) AS raw FROM f, n), m AS (SELECT avg(raw) AS mean FROM r)"
+    " SELECT token, df, round(CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END, 6) AS idf FROM r, m"
+)
 def bm25_stats(spark, sf_dir):
     return retrieval.Bm25(index_of(spark, sf_dir)).idf().select("token", "df", F.round("idf", 6).alias("idf"))
 
@@ -200,26 +185,13 @@ b AS (SELECT coalesce(d.query_id, s.query_id) AS query_id, coalesce(d.ordinal, s
   coalesce(1.0 / (60 + d.rank), 0) + coalesce(1.0 / (60 + s.rank), 0) AS score FROM dense d FULL JOIN sparse s ON d.query_id = s.query_id AND d.ordinal = s.ordinal),
 fused AS (SELECT query_id, ordinal, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vrank IS NULL, coalesce(vrank, brank)) AS rank FROM b QUALIFY rank <= 10)
 """
-_BOTH = _cosine(20).replace(" n AS", " nn AS").replace("FROM n q JOIN n x", "FROM nn q JOIN nn x").replace("\ns AS", "\ns0 AS").replace("FROM s QUALIFY", "FROM s0 QUALIFY").replace("\nn AS", "\nnn AS")
-
-
-def _both(spark, sf_dir):
-    """The first vectors ask for the benchmark items with their numbers, over documents and vectors of one number."""
-    asked, v = vectors_of(spark, sf_dir)
-    dense = retrieval.cosine_topk(asked, v, 20, digits=DIGITS)
-    return dense, retrieval.Bm25(index_of(spark, sf_dir)).topk(items_of(spark, sf_dir), 20, digits=DIGITS)
+_BOTH = _cosine(20).replace(" n AS", " nn AS").replace("FROM n q JOIN n x", "FROM nn q JOIN nn x").replace("\ns AS", "\ns0 AS").replace("FROM s QUALIFY", "FROM s0 QUALIFY").replace("\nn AS", "\nnn AS").replace("q.vec_id AS query_id", f"q.vec_id // {QUERY_STEP} AS query_id")
 
 
 @query(f"{_BOTH}, {_bm25(20)}, {_FUSED} {_SCORED} fused")
 def hybrid_topk(spark, sf_dir):
-    dense, sparse = _both(spark, sf_dir)
-    return _shown(retrieval.fuse(dense, sparse, 10).withColumn("score", F.col("combined_score")))
-
-
-@query()
-def hybrid_topk_whole(spark, sf_dir):
-    """The n-th asking vector, counted by id from 0, asks for the benchmark item n; no other vector is tied to an item."""
-    asked, v = whole_vectors_of(spark, sf_dir)
+    """The n-th asking vector, counted by id from 0, asks for the benchmark item n; items beyond have no vector."""
+    asked, v = vectors_of(spark, sf_dir)
     asked = asked.withColumn("query_id", F.expr(f"query_id div {QUERY_STEP}"))
     dense = retrieval.cosine_topk(asked, v, 20, digits=DIGITS)
     sparse = retrieval.Bm25(index_of(spark, sf_dir)).topk(items_of(spark, sf_dir), 20, digits=DIGITS)
@@ -232,8 +204,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # metrics ----------------------------------------------------------------------------------
 
-_QRELS = f", q AS (SELECT vec_id, label FROM e WHERE vec_id < {QUERY_VECTORS}), rel AS (SELECT q.vec_id AS query_id, e.vec_id AS ordinal FROM q JOIN e USING (label) WHERE e.vec_id >= {QUERY_VECTORS})"
-_PER_K = f"""{_cosine(10)}{_QRELS},
+_QRELS = f", q AS (SELECT vec_id, label FROM e WHERE vec_id % {QUERY_STEP} = 0), rel AS (SELECT q.vec_id AS query_id, e.vec_id AS ordinal FROM q JOIN e USING (label) WHERE e.vec_id <> q.vec_id)"
+_PER_K = f"""{_cosine(10, "x.vec_id <> q.vec_id")}{_QRELS},
 h AS (SELECT d.query_id, d.rank, CAST(rel.ordinal IS NOT NULL AS INT) AS r FROM dense d LEFT JOIN rel ON rel.query_id = d.query_id AND rel.ordinal = d.ordinal),
 tot AS (SELECT query_id, (SELECT count(*) FROM rel WHERE rel.query_id = z.query_id) AS total FROM (SELECT DISTINCT query_id FROM h) z),
 k AS (SELECT unnest([1, 3, 5, 10]) AS k),
@@ -246,16 +218,8 @@ per_q AS (SELECT query_id, coalesce(1.0 / min(rank) FILTER (r = 1), 0) AS rr, CA
 
 
 def _run(spark, sf_dir):
-    asked, v = vectors_of(spark, sf_dir)
-    run = retrieval.cosine_topk(asked, v, 10, digits=DIGITS).select("query_id", F.col("ordinal").alias("chunk_id"), "rank")
-    labels = F.broadcast(asked.select("query_id", "label"))
-    qrels = v.join(labels, "label").select("query_id", F.col("ordinal").alias("chunk_id"), F.lit(2).alias("relevance_score"))
-    return run, qrels
-
-
-def _run_whole(spark, sf_dir):
     """The ten nearest others of every asking vector: a vector is neither a hit nor relevant for itself."""
-    asked, v = whole_vectors_of(spark, sf_dir)
+    asked, v = vectors_of(spark, sf_dir)
     others = F.col("ordinal") != F.col("query_id")
     run = retrieval.cosine_topk(asked, v, 11, digits=DIGITS).where(others)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
@@ -273,11 +237,6 @@ def metrics_at_k(spark, sf_dir):
     return _at_k(*_run(spark, sf_dir))
 
 
-@query()
-def metrics_at_k_whole(spark, sf_dir):
-    return _at_k(*_run_whole(spark, sf_dir))
-
-
 def _at_k(run, qrels, totals=None):
     out = metrics.at_k(run, qrels, totals=totals)
     return out.select("query_id", F.col("k").cast("long").alias("k"), *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
@@ -288,11 +247,6 @@ def reciprocal_rank_and_average_precision(spark, sf_dir):
     return _by_rank(*_run(spark, sf_dir))
 
 
-@query()
-def reciprocal_rank_and_average_precision_whole(spark, sf_dir):
-    return _by_rank(*_run_whole(spark, sf_dir))
-
-
 def _by_rank(run, qrels, totals=None):
     out = metrics.by_rank(run, qrels, totals=totals)
     return out.select("query_id", F.round("reciprocal_rank", 9).alias("reciprocal_rank"), F.round("average_precision", 9).alias("average_precision"), F.col("num_relevant").cast("long").alias("num_relevant"))
@@ -313,27 +267,17 @@ def overall_mean(spark, sf_dir):
     return _overall("mean", *_run(spark, sf_dir))
 
 
-@query()
-def overall_mean_whole(spark, sf_dir):
-    return _overall("mean", *_run_whole(spark, sf_dir))
-
-
 @query(_overall_sql("list_sort(list(X))[len(list(X)) // 2 + 1]"))
 def overall_median(spark, sf_dir):
     return _overall("median", *_run(spark, sf_dir))
 
 
-@query()
-def overall_median_whole(spark, sf_dir):
-    return _overall("median", *_run_whole(spark, sf_dir))
-
-
 # names ------------------------------------------------------------------------------------
 
 _ACTS = "SELECT doc_id, 'The ' || upper(source[1]) || source[2:] || '  Act (Cth) ' || (1990 + doc_id % 30) AS name FROM documents"
 
 
-@query(f"WITH a AS ({_ACTS}) SELECT doc_id, lower(trim(regexp_replace(regexp_replace(regexp_replace(name, '(?i)\\((?:Cth|Vic)\\)', ' ', 'g'), '(?i)\\bthe\\b', ' ', 'g'), '\\s+', ' ', 'g'))) AS act FROM a")
+@query(f"WITH a AS ({_ACTS}) SELECT doc_id, lower(trim(regexp_replace(regexp_replace(regexp_replace(name, '\\((?:Cth|Vic)\\)', ' ', 'g'), '(?i)\\bthe\\b', ' ', 'g'), '\\s+', ' ', 'g'))) AS act FROM a")
 def normalise_act_names(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     name = F.concat(F.lit("The "), F.upper(F.substring("source", 1, 1)), F.substring("source", 2, 99), F.lit("  Act (Cth) "), (1990 + F.col("doc_id") % 30).cast("string"))
@@ -348,3 +292,17 @@ def recent_history(spark, sf_dir):
     from quernlex.operators.answers import recent_turns
 
     return recent_turns(table(spark, sf_dir, "conversations").where(F.col("role").isin("user", "assistant")), 3)
+
+
+@query(
+    f"""{_cosine(5, "x.vec_id <> q.vec_id")}, p AS (SELECT e.vec_id AS query_id, min(d.rank) FILTER (d.label = e.label) AS first FROM e LEFT JOIN dense d ON d.query_id = e.vec_id WHERE e.vec_id % {QUERY_STEP} = 0 GROUP BY ALL)
+    SELECT round(avg(CAST(coalesce(first <= 1, false) AS INT)), 3) AS hit_1, round(avg(CAST(coalesce(first <= 3, false) AS INT)), 3) AS hit_3, count(*) AS n FROM p"""
+)
+def routing_probe(spark, sf_dir):
+    """Whether the others nearest to each asking vector are of its label, which stands for the document expected."""
+    asked, v = vectors_of(spark, sf_dir)
+    found = retrieval.cosine_topk(asked, v, 6, digits=DIGITS).where("ordinal <> query_id")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    found = found.select("query_id", "ordinal", place.alias("rank")).where("rank <= 5")
+    results = found.join(v.select("ordinal", F.col("label").cast("string").alias("document_name")), "ordinal")
+    return metrics.routing(results, asked.select("query_id", F.col("label").cast("string").alias("expected_document")))

@@ -39,9 +39,9 @@ def found(df):
 
 def test_every_asking_vector_meets_the_whole_table(spark, vectors):
     q = registry.queries()
-    assert found(q["cosine_topk_whole"](spark, vectors)) == {i: nearest(i)[:10] for i in (0, 50, 100)}
-    assert found(q["cosine_topk_filtered_whole"](spark, vectors)) == {i: nearest(i, lambda x: VECTORS[x][2] == 3)[:5] for i in (0, 50, 100)}
-    hybrid = found(q["hybrid_topk_whole"](spark, vectors))
+    assert found(q["cosine_topk"](spark, vectors)) == {i: nearest(i)[:10] for i in (0, 50, 100)}
+    assert found(q["cosine_topk_filtered"](spark, vectors)) == {i: nearest(i, lambda x: VECTORS[x][2] == 3)[:5] for i in (0, 50, 100)}
+    hybrid = found(q["hybrid_topk"](spark, vectors))
     assert hybrid == {n: fused(nearest(50 * n)[:20] if n < 3 else [], [n, *(x for x in range(30) if x != n)][:20]) for n in range(4)}  # item 3 has no vector
 
 
@@ -49,14 +49,14 @@ def test_metrics_of_every_asking_vector(spark, vectors):
     q = registry.queries()
     ranked = {i: [int(VECTORS[x][2] == VECTORS[i][2]) for x in nearest(i, lambda x, i=i: x != i)[:10]] for i in (0, 50, 100)}
     total = {i: sum(v[2] == VECTORS[i][2] for v in VECTORS) - 1 for i in ranked}
-    at_k = {(r["query_id"], r["k"]): r for r in q["metrics_at_k_whole"](spark, vectors).collect()}
+    at_k = {(r["query_id"], r["k"]): r for r in q["metrics_at_k"](spark, vectors).collect()}
     assert set(at_k) == {(i, k) for i in ranked for k in (1, 3, 5, 10)}
     assert all(math.isclose(r["precision"], sum(ranked[i][:k]) / k, abs_tol=1e-8) and math.isclose(r["recall"], sum(ranked[i][:k]) / total[i], abs_tol=1e-8) for (i, k), r in at_k.items())
-    by_rank = {r["query_id"]: r for r in q["reciprocal_rank_and_average_precision_whole"](spark, vectors).collect()}
+    by_rank = {r["query_id"]: r for r in q["reciprocal_rank_and_average_precision"](spark, vectors).collect()}
     rr = {i: next((1 / (n + 1) for n, x in enumerate(hits) if x), 0) for i, hits in ranked.items()}
     assert set(by_rank) == set(ranked) and all(by_rank[i]["num_relevant"] == total[i] and math.isclose(by_rank[i]["reciprocal_rank"], rr[i], abs_tol=1e-8) for i in ranked)
-    mean = {r["metric"]: r["value"] for r in q["overall_mean_whole"](spark, vectors).collect()}
-    median = {r["metric"]: r["value"] for r in q["overall_median_whole"](spark, vectors).collect()}
+    mean = {r["metric"]: r["value"] for r in q["overall_mean"](spark, vectors).collect()}
+    median = {r["metric"]: r["value"] for r in q["overall_median"](spark, vectors).collect()}
     p10 = sorted(sum(hits) / 10 for hits in ranked.values())
     assert math.isclose(mean["precision@10"], sum(p10) / 3, abs_tol=1e-8) and math.isclose(median["precision@10"], p10[1], abs_tol=1e-8) and math.isclose(mean["mrr"], sum(rr.values()) / 3, abs_tol=1e-8)
 
@@ -72,7 +72,7 @@ def lines(spark, tmp_path_factory):
 def test_terms_of_every_section(spark, lines):
     at, texts = lines
     got = {}
-    for r in sorted(registry.queries()["section_term_specificity_whole"](spark, at).collect(), key=lambda r: r["place"]):
+    for r in sorted(registry.queries()["section_term_specificity"](spark, at).collect(), key=lambda r: r["place"]):
         got.setdefault(r["section_number"], []).append((r["term"], r["n_sections"]))
     own = {}
     for text in texts:
@@ -91,5 +91,5 @@ def test_a_question_for_every_section_and_document(spark, lines):
     blocks = [(d, str(i)) for d, text in enumerate(texts) for i, _ in enumerate(text.split("\n"), 1)]
     want = {(f"document_act_{d}", f"act_{d}_chunk_{i}", 2) for d, i in blocks}
     want |= {(f"section_{s}", f"act_{d}_chunk_{i}", 2 if s == i else 1) for s in {i for _, i in blocks} for d, i in blocks if s in i}
-    got = [tuple(r) for r in registry.queries()["auto_annotate_whole"](spark, at).collect()]
+    got = [tuple(r) for r in registry.queries()["auto_annotate"](spark, at).collect()]
     assert sorted(got) == sorted(want)
