@@ -17,7 +17,7 @@ from quernlex.llm.minhash import one_of_each
 from quernlex.llm.mixing import mix
 from quernlex.llm.toxicity import without_toxic
 from quernlex.llm.wumanber import without_contaminated
-from quernlex.session import shared_folder, table
+from quernlex.session import removed, shared_folder, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,10 +52,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage."""
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage. Empty tables and null, empty or repeated rows pass through each stage as its operator says; a row without a label or a language is like any other."""
+    docs, done = table(spark, sf_dir, "documents"), None
     folder = f"{shared_folder(spark)}/pipeline-{uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if done:  # what a stage read isn't needed once its own rows are written
+            removed(spark, done)
+        done = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
