@@ -20,19 +20,20 @@ def spread_join(rows: DataFrame, groups: DataFrame, on: list[str], spread: list[
 
     Rows of one group are told apart by a hash of `spread`. Only the different pairs of group and
     hash meet the group's row; each row then meets its pair. So a group that holds a third of all
-    rows comes to SALTS tasks, whatever the number of its rows. `rows` is read twice.
+    rows comes to SALTS tasks, whatever the number of its rows. `rows` is read twice. The joins
+    sort, so that nothing is sent by way of the driver or has to fit a task's memory.
     """
     salted = rows.withColumn("_salt", salt(*spread))
-    pairs = salted.select(*on, "_salt").distinct().join(groups, on, how)
-    return salted.join(pairs, [*on, "_salt"]).drop("_salt")
+    pairs = salted.select(*on, "_salt").distinct().join(groups.hint("merge"), on, how)
+    return salted.join(pairs.hint("merge"), [*on, "_salt"]).drop("_salt")
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
     """edges (u, v) with m, the least v of each u, found in two steps like spread_join's."""
     salted = edges.withColumn("s", salt("v"))
     part = salted.groupBy("u", "s").agg(F.min("v").alias("m"))
-    pairs = part.select("u", "s").join(part.groupBy("u").agg(F.min("m").alias("m")), "u")
-    return salted.join(pairs, ["u", "s"]).drop("s")
+    pairs = part.select("u", "s").join(part.groupBy("u").agg(F.min("m").alias("m")).hint("merge"), "u")
+    return salted.join(pairs.hint("merge"), ["u", "s"]).drop("s")
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -61,4 +62,5 @@ def components(links: DataFrame) -> DataFrame:
         if state == known or not state[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         known = state
-        edges = checkpoint(_small(_large(edges).distinct()).distinct())
+        # each half by itself: their plans would multiply
+        edges = checkpoint(_small(checkpoint(_large(edges).distinct())).distinct())

@@ -307,7 +307,13 @@ def _linked(docs: DataFrame, words: int, percent: int, task_shingles: int) -> Da
     # the full sets of nodes that have a candidate, read again from their texts
     wanted = checkpoint(nodes.join(member, "d"))
     total = wanted.groupBy("comp").agg(F.sum("n").alias("total")).select("comp", F.ceil(F.col("total") / task_shingles).cast("int").alias("chunks"))
-    wanted = checkpoint(spread_join(wanted, total, ["comp"], ["d"]).withColumn("chunk", F.pmod(F.xxhash64("d"), F.col("chunks")).cast("int")))
+    large = total.where("chunks > 1")
+    if large.limit(1).count():
+        wanted = spread_join(wanted, large, ["comp"], ["d"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+        wanted = checkpoint(wanted.withColumn("chunk", F.pmod(F.xxhash64("d"), F.col("chunks")).cast("int")))
+    else:
+        large = None
+        wanted = wanted.withColumns({"chunks": F.lit(1), "chunk": F.lit(0)})
 
     def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -329,7 +335,7 @@ def _linked(docs: DataFrame, words: int, percent: int, task_shingles: int) -> Da
 
     alone = F.lit(-1).alias("side")
     links = confirmed(sets_of(wanted.where("chunks = 1")).select("*", alone))
-    if wanted.where("chunks > 1").limit(1).count():
+    if large is not None:
         sets = written(sets_of(wanted.where("chunks > 1")))
         within = checkpoint(confirmed(sets.select("*", alone)))
         known = components(within).select(F.col("node").alias("d"), "root")
