@@ -49,6 +49,13 @@ def _small(edges: DataFrame) -> DataFrame:
     return tied.union(known.select("u", F.col("m").alias("v")))
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether all is stars: no node has two smaller neighbours, or one and a larger one."""
+    roles = edges.select(F.col("u").alias("node"), F.lit(1).alias("low"), F.lit(0).alias("high")).union(edges.select("v", F.lit(0), F.lit(1)))
+    per = roles.groupBy("node").agg(F.sum("low").alias("low"), F.max("high").alias("high"))
+    return not per.where("low > 1 or (low > 0 and high > 0)").limit(1).count()
+
+
 def components(links: DataFrame) -> DataFrame:
     """For a graph of links (u, v) of longs: node, root, one row for each node but the roots.
 
@@ -56,11 +63,7 @@ def components(links: DataFrame) -> DataFrame:
     SALTS places in each step. Links of a node with itself say nothing; no links give no rows.
     """
     edges = checkpoint(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    known = None
-    while True:
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if state == known or not state[0]:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        known = state
+    while not _settled(edges):
         # each half by itself: their plans would multiply
         edges = checkpoint(_small(checkpoint(_large(edges).distinct())).distinct())
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
