@@ -9,6 +9,8 @@ from quernlex.session import checkpoint
 
 #: A group's rows are dealt to so many places before they meet what is known of the group.
 SALTS = 64
+#: Nodes with more than one HUBS-th of all links are told apart.
+HUBS = 1000
 
 
 def salt(*spread: str | Column) -> Column:
@@ -28,23 +30,30 @@ def spread_join(rows: DataFrame, groups: DataFrame, on: list[str], spread: list[
     return salted.join(pairs.hint("merge"), [*on, "_salt"]).drop("_salt")
 
 
-def _with_least(edges: DataFrame) -> DataFrame:
-    """edges (u, v) with m, the least v of each u, found in two steps like spread_join's."""
-    salted = edges.withColumn("s", salt("v"))
-    part = salted.groupBy("u", "s").agg(F.min("v").alias("m"))
-    pairs = part.select("u", "s").join(part.groupBy("u").agg(F.min("m").alias("m")).hint("merge"), "u")
-    return salted.join(pairs.hint("merge"), ["u", "s"]).drop("s")
+def _with_least(edges: DataFrame, total: int) -> DataFrame:
+    """edges (u, v), of which there are `total`, with m, the least v of each u.
+
+    Nodes with more than a HUBS-th of all rows are fewer than HUBS, whatever the graph, so what is
+    known of them is sent to their rows where these are. All other rows meet their node's by a
+    sort; no node has more than that share of them.
+    """
+    share = total // HUBS
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    hubs = F.broadcast(least.where(F.col("n") > share).select("u", F.col("m").alias("hub")))
+    marked = edges.join(hubs, "u", "left")
+    others = marked.where("hub is null").drop("hub").join(least.where(F.col("n") <= share).drop("n").hint("merge"), "u")
+    return others.union(marked.where("hub is not null").withColumnRenamed("hub", "m"))
 
 
-def _large(edges: DataFrame) -> DataFrame:
+def _large(edges: DataFrame, total: int) -> DataFrame:
     """Every larger neighbour of a node is tied to the least of the node and its neighbours."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+    return _with_least(both, 2 * total).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, total: int) -> DataFrame:
     """A node and its smaller neighbours are tied to the least of them."""
-    known = _with_least(edges)
+    known = _with_least(edges, total)
     tied = known.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
     return tied.union(known.select("u", F.col("m").alias("v")))
 
@@ -59,11 +68,11 @@ def _settled(edges: DataFrame) -> bool:
 def components(links: DataFrame) -> DataFrame:
     """For a graph of links (u, v) of longs: node, root, one row for each node but the roots.
 
-    root is the least node that node is connected with. A node with very many links is dealt to
-    SALTS places in each step. Links of a node with itself say nothing; no links give no rows.
+    root is the least node that node is connected with. Links of a node with itself say nothing;
+    no links give no rows.
     """
     edges = checkpoint(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while not _settled(edges):
-        # each half by itself: their plans would multiply
-        edges = checkpoint(_small(checkpoint(_large(edges).distinct())).distinct())
+        for step in (_large, _small):  # each half by itself: their plans would multiply
+            edges = checkpoint(step(edges, edges.count()).distinct())
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
