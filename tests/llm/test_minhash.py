@@ -76,7 +76,10 @@ def test_one_of_each_goes_by_rows(spark):
     assert sorted(map(tuple, kept.collect()), key=str) == sorted([(3, one), (7, two), (None, three), (None, None)], key=str)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hubs", [1000, 5])
+def test_components(spark, monkeypatch, hubs):
+    """With few hubs, nodes of both kinds; with the usual number every node of so small a graph is one."""
+    monkeypatch.setattr("quernlex.llm.components.HUBS", hubs)
     rng = random.Random(4)
     links = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(k, k + 1) for k in range(1000, 1100)] + [(5000, k) for k in range(5001, 5300)]
     root = {n: n for e in links for n in e}
