@@ -31,9 +31,9 @@ def spread_join(rows: DataFrame, groups: DataFrame, on: list[str], spread: list[
 
 
 def _with_least(edges: DataFrame, total: int) -> DataFrame:
-    """edges (u, v), of which there are `total`, with m, the least v of each u.
+    """edges (u, v), of which there are `total` at most, with m, the least v of each u.
 
-    Nodes with more than a HUBS-th of all rows are fewer than HUBS, whatever the graph, so what is
+    Nodes with more than a HUBS-th of `total` are fewer than HUBS, whatever the graph, so what is
     known of them is sent to their rows where these are. All other rows meet their node's by a
     sort; no node has more than that share of them.
     """
@@ -69,10 +69,12 @@ def components(links: DataFrame) -> DataFrame:
     """For a graph of links (u, v) of longs: node, root, one row for each node but the roots.
 
     root is the least node that node is connected with. Links of a node with itself say nothing;
-    no links give no rows.
+    no links give no rows. No step makes more edges than it gets, so those at first are counted
+    once, as a bound for all rounds.
     """
     edges = checkpoint(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    total = edges.count()
     while not _settled(edges):
         for step in (_large, _small):  # each half by itself: their plans would multiply
-            edges = checkpoint(step(edges, edges.count()).distinct())
+            edges = checkpoint(step(edges, total).distinct())
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
