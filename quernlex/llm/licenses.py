@@ -6,7 +6,8 @@ first. A block can hold `threshold` of a template's tokens only if it has one of
 tokens of the template come after the first of them that it has (positional filter). Blocks are
 three times as long as the template and start at multiples of its length, so any stretch of
 twice that length lies in one; they are read where prefix tokens stand. What passes is counted
-exactly. Most words of a license are every other license's too, so a block must also have the
+exactly, and every pair of block and template that meets the threshold is returned. Most words of
+a license are every other license's too, so only those pairs give a label whose block also has the
 words in which the template names its license, one of a few phrases for each of them. A few exact
 phrases are found besides, by place.
 
@@ -15,6 +16,7 @@ All of it is column expressions over one row at a time: no shuffle but for the t
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from math import ceil
 from typing import NamedTuple
@@ -28,7 +30,7 @@ PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2
 
 
 class Template(NamedTuple):
-    """A license's label, words by which it is applied to a work, and the phrases of which a block needs one."""
+    """A license's label, words by which it is applied to a work, and the phrases of which a block needs one to be labelled; with no phrases it needs none."""
 
     label: str
     text: str
@@ -104,6 +106,11 @@ TEMPLATES = [
 ]
 
 
+def _plain(text: str) -> list[str]:
+    """The words of a template or name, as those of a document are taken."""
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), text))
+
+
 def _normal(text: Column) -> Column:
     """' word word ... ' of lower-cased words; one blank where there are none."""
     spaced = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " ")
@@ -143,32 +150,35 @@ def scan_licenses(
     phrases: dict[str, str] = PHRASES,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks.
+    """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks, pairs.
 
     Words are lower-cased (A-Z) runs of ASCII letters, digits and characters from U+0080; a null
-    or empty text has none. n_base counts the places of all phrases; blocks holds every block that
-    has `threshold` or more of a template's tokens and one of its names, as label, start (words
-    from 0) and share; labels are those of the phrases and blocks. score is 1 where a phrase
-    stands, else the largest share, 0 if none. Ids may be null, repeated or of any type; texts may
-    be of any length. Empty tables give no rows; other columns are not read, so their names may be any.
+    or empty text has none; so are those of templates. n_base counts the places of all phrases;
+    pairs holds every block that has `threshold` (above 0) or more of a template's tokens, as label,
+    start (words from 0), share and named: whether it has one of the template's names, or the
+    template has none. blocks are the named ones, without that column; labels are those of the
+    phrases and blocks. score is 1 where a phrase stands, else the largest share of a block, 0 if
+    none. Ids may be null, repeated or of any type; texts may be of any length. Empty tables give no
+    rows; other columns are not read, so their names may be any.
     """
-    sets = [(t, sorted(set(t.text.split())), len(t.text.split())) for t in templates]
+    cut = [(t._replace(names=tuple(" ".join(_plain(n)) for n in t.names)), _plain(t.text)) for t in templates]
+    sets = [(t, sorted(set(w)), len(w)) for t, w in cut if w]
     order = token_order(docs, text_col, sorted({x for _, s, _ in sets for x in s})) if sets else {}
     rows = docs.select(F.col(id_col).alias("doc_id"), _normal(F.col(text_col)).alias("norm"))
     blanks = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit("")))
     rows = rows.withColumn("n_words", F.when(F.trim("norm") == "", 0).otherwise(blanks - 1).cast("long"))
 
-    # only texts that have some phrase or name at all are cut into words
-    wanted = _has(F.col("norm"), tuple(dict.fromkeys([*phrases, *(n for t in templates for n in t.names)])))
     none = F.array().cast("array<string>")
-    rows = rows.withColumn("words", F.when((F.col("n_words") > 0) & wanted, F.split(F.trim("norm"), " ")).otherwise(none))
+    rows = rows.withColumn("words", F.when(F.col("n_words") > 0, F.split(F.trim("norm"), " ")).otherwise(none))
+    # a block has no more of a template's tokens than its text has
+    rows = rows.withColumn("known", F.array_intersect(F.array(*map(F.lit, order)), "words") if order else none)
 
     words = F.col("words")
     places = {p: F.when(F.col("norm").contains(f" {p} "), _places(words, p)).otherwise(F.array().cast("array<int>")) for p in phrases}
     rows = rows.withColumn("at", F.flatten(F.array(*places.values())) if phrases else F.array().cast("array<int>"))
     base = [F.when(F.col("norm").contains(f" {p} "), F.lit(label)) for p, label in phrases.items()]
     rows = rows.withColumn("base", F.when(F.size(words) > 0, F.array_compact(F.array(*base))).otherwise(none) if phrases else none)
-    kind = "array<struct<label: string, start: int, share: double>>"
+    kind = "array<struct<label: string, start: int, share: double, named: boolean>>"
 
     def passing(template: Template, tokens: list[str], length: int) -> Column:
         tokens = sorted(tokens, key=order.__getitem__)
@@ -184,17 +194,22 @@ def scan_licenses(
             first = F.array_min(F.transform(F.array_intersect(F.array(*map(F.lit, prefix)), block), lambda t: F.array_position(listed, t)))
             enough = (F.size(block) >= need) & (len(tokens) + 1 - first >= need)
             held = F.when(enough, F.size(F.array_intersect(listed, block)))
-            named = _has(F.concat(F.lit(" "), F.array_join(block, " "), F.lit(" ")), template.names)
-            return F.when((held >= need) & named, held / F.lit(float(len(tokens))))
+            return F.when(held >= need, held / F.lit(float(len(tokens))))
+
+        def named(start: Column) -> Column:
+            block = F.slice(words, start + 1, 3 * length)
+            return _has(F.concat(F.lit(" "), F.array_join(block, " "), F.lit(" ")), template.names) if template.names else F.lit(True)
 
+        found = F.transform(F.filter(numbers, lambda b: b >= 0), lambda b: F.struct((b * length).cast("int").alias("start"), share(b).alias("share")))
         found = F.transform(
-            F.filter(numbers, lambda b: b >= 0), lambda b: F.struct(F.lit(template.label).alias("label"), (b * length).cast("int").alias("start"), share(b).alias("share"))
+            F.filter(found, lambda x: x["share"].isNotNull()), lambda x: F.struct(F.lit(template.label).alias("label"), x["start"].alias("start"), x["share"].alias("share"), named(x["start"]).alias("named"))
         )
-        may = (F.size(words) >= need) & _has(F.col("norm"), template.names)
-        return F.when(may, F.filter(found, lambda x: x["share"].isNotNull())).otherwise(F.array().cast(kind))
+        may = (F.size("known") >= need) & (F.size(F.array_intersect(listed, "known")) >= need)
+        return F.when(may, found).otherwise(F.array().cast(kind))
 
-    blocks = F.flatten(F.array(*[passing(*x) for x in sets])) if sets else F.array().cast(kind)
-    rows = rows.withColumn("blocks", F.when(F.size(words) > 0, blocks).otherwise(F.array().cast(kind)))
+    rows = rows.withColumn("pairs", F.flatten(F.array(*[passing(*x) for x in sets])) if sets else F.array().cast(kind))
+    blocks = F.transform(F.filter("pairs", lambda x: x["named"]), lambda x: F.struct(*[x[c].alias(c) for c in ("label", "start", "share")]))
+    rows = rows.withColumn("blocks", blocks)
     n_base = F.size("at").cast("long")
     shares = F.transform("blocks", lambda x: x["share"])
     labels = F.concat("base", F.transform("blocks", lambda x: x["label"]))
@@ -208,4 +223,5 @@ def scan_licenses(
         F.array_join(F.array_sort(F.array_distinct(labels)), ",").alias("labels"),
         F.when(n_base > 0, 1.0).otherwise(F.coalesce(F.array_max(shares), F.lit(0.0))).alias("score"),
         "blocks",
+        "pairs",
     )

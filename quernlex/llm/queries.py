@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quernlex.llm.exact import exact_dedup
 from quernlex.llm.language import languages
@@ -55,7 +56,9 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(table(spark, sf_dir, "documents")).drop("blocks")
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    similar = F.array_join(F.array_sort(F.array_distinct(F.transform("pairs", lambda x: x["label"]))), ",")
+    return found.withColumns({"n_pairs": F.size("pairs").cast("long"), "pair_labels": similar}).drop("blocks", "pairs")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -313,3 +313,33 @@ def test_license_near_misses(spark):
     rows = [(i, t, "mine", 1.5) for i, t in enumerate(want)]
     got = scan_licenses(spark.createDataFrame(rows, "doc_id long, text string, labels string, score double")).collect()
     assert {t: r["labels"] for t, r in zip(want, sorted(got, key=lambda r: r["doc_id"]), strict=True)} == want
+
+
+def test_license_pairs_need_no_name(spark):
+    """Every pair that meets the threshold is returned, whether or not the block names the license."""
+    import random
+
+    from quernlex.llm.licenses import TEMPLATES, Template
+
+    rng = random.Random(9)
+    vocabulary = sorted({t for x in TEMPLATES for t in x.text.split()}) + ["other"]
+    templates, texts = [*TEMPLATES, Template("mine", "Free for ANY use, at one's own risk", ()), Template("loud", "SHARE-AND-ENJOY", ("Enjoy",)), Template("none", "", ())], ["share and", "share and enjoy; free for any use at one S risk", None, ""]
+    for _ in range(40):
+        for t in rng.sample(TEMPLATES, 2):
+            texts.append(" ".join([w if rng.random() > 0.12 else rng.choice(vocabulary) for w in t.text.split()] + ["the"] * rng.randrange(60)))
+        texts[-1] += " " + texts[-2]
+    got = {r["doc_id"]: r for r in scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates=templates).collect()}
+    unnamed = 0
+    for i, text in enumerate(texts):
+        w, want = PLAIN.findall(lower(text or "")), []
+        for t in templates:
+            words = PLAIN.findall(lower(t.text))
+            for b in range(0, len(w), len(words)) if words else ():
+                block = w[b : b + 3 * len(words)]
+                share = len(set(words) & set(block)) / len(set(words))
+                if share >= 0.8 - 1e-9:
+                    want.append((t.label, b, round(share, 9), not t.names or any(f" {lower(x)} " in f" {' '.join(block)} " for x in t.names)))
+        unnamed += sum(not x[3] for x in want)
+        assert sorted((x["label"], x["start"], round(x["share"], 9), x["named"]) for x in got[i]["pairs"]) == sorted(want), text
+        assert sorted((x["label"], x["start"], round(x["share"], 9)) for x in got[i]["blocks"]) == sorted(x[:3] for x in want if x[3])
+    assert unnamed > 100 and got[0]["labels"] == "" and got[1]["labels"] == "loud,mine"
