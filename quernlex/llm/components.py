@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +15,8 @@ from quernlex.session import checkpoint
 SALTS = 64
 #: Nodes with more than one HUBS-th of all links are told apart.
 HUBS = 1000
+#: A graph of no more edges than these (8 MB) is gone through by one task; each round of stars costs the driver three queries.
+SMALL = 500_000
 
 
 def salt(*spread: str | Column) -> Column:
@@ -65,15 +71,41 @@ def _settled(edges: DataFrame) -> bool:
     return not per.where("low > 1 or (low > 0 and high > 0)").limit(1).count()
 
 
+def least_reachable(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges (u, v), in order, and the least node that each is connected with."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while len(a):  # of the roots that an edge joins the larger goes under the smaller, so at most half of them stay
+        a, b = root[a], root[b]
+        open_ = a != b
+        a, b = a[open_], b[open_]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while len(above := np.flatnonzero(root[root] != root)):
+            root[above] = root[root[above]]
+    return nodes, nodes[root]
+
+
+def _in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    edges = [[c.to_numpy() for c in batch.columns] for batch in batches]
+    if edges:
+        nodes, roots = least_reachable(*(np.concatenate(c) for c in zip(*edges, strict=True)))
+        some = nodes != roots
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(roots[some])], ["node", "root"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """For a graph of links (u, v) of longs: node, root, one row for each node but the roots.
 
     root is the least node that node is connected with. Links of a node with itself say nothing;
-    no links give no rows. No step makes more edges than it gets, so those at first are counted
-    once, as a bound for all rounds.
+    no links give no rows. A graph of at most SMALL different links is one task's; larger ones take
+    rounds of stars. No step makes more edges than it gets, so those at first are counted once, as
+    a bound for all rounds.
     """
     edges = checkpoint(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     total = edges.count()
+    if total <= SMALL:
+        return checkpoint(edges.coalesce(1).mapInArrow(_in_one_task, "node long, root long"))
     while not _settled(edges):
         for step in (_large, _small):  # each half by itself: their plans would multiply
             edges = checkpoint(step(edges, total).distinct())

@@ -97,6 +97,34 @@ def test_components(spark, monkeypatch, hubs):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+@pytest.mark.parametrize(("small", "hubs"), [(10**6, 1000), (0, 1000), (0, 5)])
+def test_components_of_small_and_large_graphs(spark, monkeypatch, small, hubs):
+    """Long chains, stars, loops, repeated links and negative nodes, in one task and by rounds."""
+    monkeypatch.setattr("quernlex.llm.components.SMALL", small)
+    monkeypatch.setattr("quernlex.llm.components.HUBS", hubs)
+    rng = random.Random(6)
+    chain = rng.sample(range(-2000, -1000), 40)
+    links = list(zip(chain, chain[1:], strict=False)) + [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(2**62, k) for k in range(7000, 7200)] + [(9, 9), (-(2**63), 2**63 - 1)] * 2
+    near = {n: set() for e in links for n in e}
+    for a, b in links:
+        near[a].add(b)
+        near[b].add(a)
+    want = {}
+    for n in sorted(near):
+        todo = [n]
+        while todo:
+            if (x := todo.pop()) not in want:
+                want[x] = n
+                todo += near[x]
+    spark.sparkContext.setJobGroup(f"components-{small}-{hubs}", "")
+    found = components(spark.createDataFrame(links, "u long, v long").repartition(7))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"components-{small}-{hubs}"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    rows = found.collect()
+    assert len(rows) == len({r["node"] for r in rows}) and {r["node"]: r["root"] for r in rows} == {n: r for n, r in want.items() if n != r}
+    assert not small or jobs <= 8  # each round takes several; a driver keeps something of every query
+
+
 def test_estimate_is_close():
     rng = random.Random(1)
     base = [f"w{k}" for k in range(600)]
