@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernlex.functions.sizes import broadcast_if_small
-from quernlex.functions.text import normal_act, same_act, term_pattern
+from quernlex.functions.text import YEAR, normal_act, same_act, term_pattern
 from quernlex.operators import extraction
+from quernlex.session import written
 
 MOST_REFERENCES = MOST_DEFINITIONS = 3
 
@@ -76,12 +77,19 @@ def expand(results: DataFrame, queries: DataFrame, index: DataFrame, most_refere
     return both.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("n"))).drop("n")
 
 
-def provision_keys(chunks: DataFrame) -> DataFrame:
-    """document_name, schedule, section: what can be cited; clauses of a schedule are no sections."""
+def provision_keys(chunks: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """document_name, schedule, section: what can be cited; clauses of a schedule are no sections.
+
+    among: distinct (schedule, section), if only keys with these are asked for.
+    """
     keyed = F.coalesce("schedule", F.lit("")) != ""
     none = F.lit(None).cast("string")
     keys = F.when(keyed, F.array(F.struct(F.upper("schedule").alias("schedule"), none.alias("section")))).otherwise(F.transform(own_sections(), lambda s: F.struct(none.alias("schedule"), s.alias("section"))))
-    return chunks.select("document_name", F.explode(keys).alias("x")).select("document_name", "x.*").distinct()
+    rows = chunks.select("document_name", F.explode(keys).alias("x")).select("document_name", "x.*")
+    if among is not None:
+        some = broadcast_if_small(among.select(F.col("schedule").alias("_s"), F.col("section").alias("_n")))
+        rows = rows.join(some, F.col("schedule").eqNullSafe(F.col("_s")) & F.col("section").eqNullSafe(F.col("_n")), "left_semi")
+    return rows.distinct()
 
 
 def document_titles(chunks: DataFrame) -> DataFrame:
@@ -99,30 +107,33 @@ def verify(answers: DataFrame, retrieved: DataFrame, corpus: DataFrame) -> DataF
     not_in_corpus. A reference without an Act may be to any document.
     """
     refs = extraction.references(answers.select("answer_id", "text")).withColumn("label", extraction.reference_label()).withColumn("named", normal_act(F.col("act")))
-    refs = refs.withColumn("turn", F.row_number().over(Window.partitionBy("answer_id", "label").orderBy("refpos"))).where("turn = 1").drop("turn")
+    refs = refs.withColumn("turn", F.row_number().over(Window.partitionBy("answer_id", "label").orderBy("refpos"))).where("turn = 1").drop("turn", "act")
+    refs = written(refs)  # it is gone over again and again
     titles = document_titles(corpus)
-    acts = refs.select("named").where("named is not null").distinct()
-    named = broadcast_if_small(acts).join(broadcast_if_small(titles), same_act(F.col("named"), F.col("title"))).select("named", F.col("document_name").alias("named_document"))
-    keys = provision_keys(corpus).select(F.col("document_name").alias("kd"), F.col("schedule").alias("ks"), F.col("section").alias("kn"))
+    # what is cited is looked up once for all answers: a document's keys stand under its title, so nothing multiplies
+    wanted = refs.select("named", "schedule", "section").distinct()
+    keys = provision_keys(corpus, wanted.select("schedule", "section").distinct()).join(titles, "document_name", "left")
+    keys = written(keys.select("title", F.col("schedule").alias("ks"), F.col("section").alias("kn")).distinct())
     on_key = F.col("schedule").eqNullSafe(F.col("ks")) & F.col("section").eqNullSafe(F.col("kn"))
-    slim = refs.select("answer_id", "refpos", "schedule", "section", "named")
-    # keys that no document restricts are looked up without documents, so nothing multiplies
-    free = slim.where("named is null")
-    any_key = keys.select("ks", "kn").distinct()
-    in_corpus = free.join(any_key, on_key, "left_semi").select("answer_id", "refpos")
-    bound = slim.where("named is not null").join(named, "named")
-    in_corpus = in_corpus.union(bound.join(keys, on_key & (F.col("named_document") == F.col("kd")), "left_semi").select("answer_id", "refpos")).distinct()
-    own = _keys_by_answer(retrieved).select(F.col("answer_id").alias("ra"), F.col("document_name").alias("kd"), F.col("schedule").alias("ks"), F.col("section").alias("kn"))
-    mine = (F.col("answer_id") == F.col("ra")) & on_key
-    here = free.join(own, mine, "left_semi").select("answer_id", "refpos").union(bound.join(own, mine & (F.col("named_document") == F.col("kd")), "left_semi").select("answer_id", "refpos")).distinct()
-    out = refs.join(here.withColumn("here", F.lit(True)), ["answer_id", "refpos"], "left").join(in_corpus.withColumn("there", F.lit(True)), ["answer_id", "refpos"], "left")
-    verdict = F.when(F.col("here"), "supported").when(F.col("there"), "outside_retrieved").otherwise("not_in_corpus")
+    acts = wanted.select("named").where("named is not null").distinct()
+    bare = lambda c: F.regexp_replace(c, YEAR, "")
+    named = acts.withColumn("bare", bare(F.col("named"))).join(keys.select("title").distinct().withColumn("bare", bare(F.col("title"))), "bare").where(same_act(F.col("named"), F.col("title"))).select("named", "title")
+    free = wanted.where("named is null").join(keys.select("ks", "kn").distinct(), on_key, "left_semi")
+    known = wanted.join(named, "named").withColumnRenamed("title", "kt")
+    bound = known.join(keys, on_key & (F.col("kt") == F.col("title")), "left_semi").select("named", "schedule", "section")
+    there = free.unionByName(bound).distinct().select(F.col("named").alias("tn"), F.col("schedule").alias("ts"), F.col("section").alias("tc"), F.lit(True).alias("there"))
+    on_all = F.col("named").eqNullSafe(F.col("tn")) & F.col("schedule").eqNullSafe(F.col("ts")) & F.col("section").eqNullSafe(F.col("tc"))
+    own = _keys_by_answer(retrieved, wanted.select("schedule", "section").distinct()).join(titles, "document_name", "left")
+    own = own.groupBy(F.col("answer_id").alias("ra"), F.col("schedule").alias("ks"), F.col("section").alias("kn")).agg(F.collect_set("title").alias("titles"))
+    out = refs.join(own, (F.col("answer_id") == F.col("ra")) & on_key, "left").join(broadcast_if_small(there), on_all, "left")
+    here = F.col("titles").isNotNull() & (F.col("named").isNull() | F.exists("titles", lambda t: same_act(F.col("named"), t)))
+    verdict = F.when(here, "supported").when(F.col("there"), "outside_retrieved").otherwise("not_in_corpus")
     return out.select("answer_id", "label", verdict.alias("verdict"), "refpos")
 
 
-def _keys_by_answer(retrieved: DataFrame) -> DataFrame:
+def _keys_by_answer(retrieved: DataFrame, among: DataFrame | None = None) -> DataFrame:
     both = F.to_json(F.struct("answer_id", "document_name"))
-    keys = provision_keys(retrieved.withColumn("document_name", both))
+    keys = provision_keys(retrieved.withColumn("document_name", both), among)
     kinds = f"answer_id {retrieved.schema['answer_id'].dataType.simpleString()}, document_name string"
     return keys.withColumn("x", F.from_json("document_name", kinds)).select("x.answer_id", "x.document_name", "schedule", "section")
 
