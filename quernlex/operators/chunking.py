@@ -1,4 +1,4 @@
-"""From pages to section-sized chunks: windows over lines, one loop only for the cutting of long text.
+"""From pages to section-sized chunks: a document's pages meet in one task, once, and are gone over there.
 
 pages: document_name, page_number, text. Offsets are code points in the document's text, which
 is its pages joined by newlines. Every character lies in exactly one chunk, white space aside.
@@ -7,28 +7,32 @@ is its pages joined by newlines. Every character lies in exactly one chunk, whit
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
+from math import ceil
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernlex.functions.text import SPACE, squashed, stripped, visible_length
 from quernlex.session import ship
 
 MOST, LEAST = 2000, 40
 # The forms of lines in statutes.
-HEADING = r"(?d)^[ \t]*(\d{1,4}[A-Z]{0,4})[ \t]+([A-Z][^\n]*?)[ \t]*$"
-SCHEDULE = r"(?d)^[ \t]*Schedule[ \t]+(\d{1,3}[A-Z]?)(?:(?:[ \t]*[—–-][ \t]*|[ \t]+)[A-Z][^\n]*)?[ \t]*$"
-STRUCTURAL = r"(?d)^[ \t]*(?:Chapter|Part|Division|Subdivision)[ \t]+[0-9A-Z]+(?:-[0-9A-Z]+)?\b"
-ENDNOTES = r"(?d)^[ \t]*Endnotes?\b(?:[ \t]+\d+)?(?:[ \t]*[—–-][^\n]*)?[ \t]*$"
-DOT_LEADER = r"\.{4,}|(?:\.[ \t]){3,}|…"
-PAGE_NUMBER = r"(?d)^[ \t]*\d{1,4}[ \t]*$"
-YEAR = r"^(?:1[89]|20)\d\d$"
-MONTH = r"^(?:January|February|March|April|May|June|July|August|September|October|November|December)\b"
+HEADING = re.compile(r"^[ \t]*([0-9]{1,4}[A-Z]{0,4})[ \t]+([A-Z][^\n]*?)[ \t]*$")
+SCHEDULE = re.compile(r"^[ \t]*Schedule[ \t]+([0-9]{1,3}[A-Z]?)(?:(?:[ \t]*[—–-][ \t]*|[ \t]+)[A-Z][^\n]*)?[ \t]*$")
+STRUCTURAL = re.compile(r"^[ \t]*(?:Chapter|Part|Division|Subdivision)[ \t]+[0-9A-Z]+(?:-[0-9A-Z]+)?\b")
+ENDNOTES = re.compile(r"^[ \t]*Endnotes?\b(?:[ \t]+[0-9]+)?(?:[ \t]*[—–-][^\n]*)?[ \t]*$")
+DOT_LEADER = re.compile(r"\.{4,}|(?:\.[ \t]){3,}|…")
+PAGE_NUMBER = re.compile(r"^[ \t]*[0-9]{1,4}[ \t]*$")
+YEAR = re.compile(r"^(?:1[89]|20)[0-9][0-9]$")
+MONTH = re.compile(r"^(?:January|February|March|April|May|June|July|August|September|October|November|December)\b")
 DEFINITION_TITLE = r"(?i)\b(?:Definitions?|Dictionary|Meaning of|Interpretation)\b"
 SUBSECTION = re.compile(r"^[ \t]*\(\d+[A-Z]*\)", re.MULTILINE)
+#: Characters of text that a worker sends on at once.
+OUT_CHARS = 4_000_000
 
 
 def lines(pages: DataFrame) -> DataFrame:
@@ -39,132 +43,133 @@ def lines(pages: DataFrame) -> DataFrame:
     return rows.select("document_name", "page_number", (F.row_number().over(w) - 1).alias("line_no"), F.coalesce(before, F.lit(0)).cast("long").alias("start"), "line")
 
 
-def _running_form(line: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(stripped(line)), r"(?U)\d+", "#"), SPACE, " ")
-
-
-def running_lines(pages: DataFrame, edge: int = 3) -> DataFrame:
-    """document_name, form: lines that stand first or last on many pages of a document."""
-    full = F.filter(F.split("text", "\n", -1), lambda x: stripped(x) != "")
-    p = pages.select("document_name", full.alias("full"))
-    ends = F.concat(F.slice("full", 1, edge), F.slice("full", F.greatest(F.lit(1), F.size("full") - edge + 1), F.lit(edge)))
-    forms = p.select("document_name", F.explode(F.array_distinct(F.transform(ends, _running_form))).alias("form"))
-    n = pages.groupBy("document_name").agg(F.count(F.lit(1)).alias("pages"))
-    counts = forms.groupBy("document_name", "form").agg(F.count(F.lit(1)).alias("n")).join(n, "document_name")
-    enough = (F.col("pages") >= 3) & (F.col("n") >= F.greatest(F.lit(3), F.ceil(F.lit(0.3) * F.col("pages"))))
-    return counts.where(enough).select("document_name", "form")
-
-
-def classified(pages: DataFrame) -> DataFrame:
-    """lines() with kind, number, title and key (the title's form in a table of contents)."""
-    rows = lines(pages).withColumn("form", _running_form(F.col("line")))
-    rows = rows.join(running_lines(pages).withColumn("running", F.lit(True)), ["document_name", "form"], "left")
-    line = F.col("line")
-    number, title = F.regexp_extract("line", HEADING, 1), squashed_ends(F.regexp_extract("line", HEADING, 2))
-    plausible = (
-        F.regexp_like(line, F.lit(HEADING)) & ~F.regexp_like(number, F.lit(YEAR)) & ~F.regexp_like(title, F.lit(MONTH)) & (F.length(title) <= 200) & ~F.substring(title, -1, 1).isin(",", ";", ":")
-    )
-    is_a = lambda p: F.regexp_like(line, F.lit(p))
-    kind = (
-        F.when(stripped(line) == "", "blank")
-        .when(F.col("running"), "running")
-        .when(is_a(DOT_LEADER) | is_a(PAGE_NUMBER), "filler")
-        .when(is_a(ENDNOTES), "endnotes")
-        .when(is_a(SCHEDULE), "schedule")
-        .when(is_a(STRUCTURAL), "structural")
-        .when(plausible, "heading")
-        .otherwise("body")
-    )
-    key = F.lower(squashed(F.regexp_replace(F.split(title, DOT_LEADER)[0], r"(?U)\s+\d{1,4}\s*$", "")))
-    rows = rows.withColumn("kind", kind).drop("form", "running")
-    head = F.col("kind") == "heading"
-    return rows.withColumns({"number": F.when(head, number), "title": F.when(head, title), "key": F.when(head, key)})
-
-
-def squashed_ends(text: Column) -> Column:
-    return F.trim(text)
-
-
-def accepted(rows: DataFrame) -> DataFrame:
-    """classified() with ok: whether a heading opens a section and isn't a line of a table of contents."""
-    doc = Window.partitionBy("document_name").orderBy("line_no")
-    after = doc.rowsBetween(1, Window.unboundedFollowing)
-    rows = rows.withColumns(
-        {
-            "cum": F.sum((F.col("kind") == "body").cast("long")).over(doc),
-            "nk": F.first(F.when(~F.col("kind").isin("blank", "running"), F.col("kind")), ignorenulls=True).over(after),
-            "body_lines": F.sum((F.col("kind") == "body").cast("long")).over(Window.partitionBy("document_name")),
-        }
-    )
-    heads = rows.where("kind = 'heading'").select("document_name", "line_no", "number", "key", "cum", "nk", "body_lines")
-    heads = heads.withColumn("b", F.coalesce(F.lead("cum").over(doc), F.col("body_lines")) > F.col("cum"))
-    heads = heads.withColumn("lag_b", F.lag("b").over(doc))
-    a = heads.where("key <> ''").alias("a")
-    z = heads.select("document_name", "number", "line_no", "key").alias("z")
-    same = (F.col("a.document_name") == F.col("z.document_name")) & (F.col("a.number") == F.col("z.number")) & (F.col("z.line_no") > F.col("a.line_no"))
-    recurs = a.join(z, same & (F.startswith("a.key", F.col("z.key")) | F.startswith("z.key", F.col("a.key"))), "left_semi").select("document_name", "line_no", F.lit(True).alias("recurs"))
-    heads = heads.join(recurs, ["document_name", "line_no"], "left")
-    doubt = F.coalesce("recurs", F.lit(False)) & (F.coalesce(~F.col("lag_b"), F.lit(False)) | F.coalesce(F.col("nk") != "body", F.lit(True)))
-    ok = heads.select("document_name", "line_no", (F.col("b") & ~doubt).alias("ok"))
-    return rows.join(ok, ["document_name", "line_no"], "left").withColumn("ok", F.coalesce("ok", F.lit(False))).drop("cum", "nk", "body_lines")
-
-
-def segments(rows: DataFrame) -> DataFrame:
-    """document_name, start, end, number, title, schedule, kind (front, section or endnotes) of accepted() lines."""
-    doc = Window.partitionBy("document_name").orderBy("line_no")
-    upto, before = doc.rowsBetween(Window.unboundedPreceding, 0), doc.rowsBetween(Window.unboundedPreceding, -1)
-    r = rows.withColumn("acc", F.max("ok").over(upto))
-    r = r.withColumn("ended", F.max((F.col("kind") == "endnotes") & F.col("acc")).over(upto))
-    r = r.withColumn("first_end", F.col("ended") & ~F.coalesce(F.lag("ended").over(doc), F.lit(False)))
-    r = r.withColumn("hd", F.col("ok") & ~F.col("ended"))
-    r = r.withColumn("sn", F.when((F.col("kind") == "schedule") & F.col("acc") & ~F.col("ended"), F.regexp_extract("line", SCHEDULE, 1)))
-    r = r.withColumns(
-        {
-            "schedule": F.last("sn", ignorenulls=True).over(upto),
-            "change": F.col("sn").isNotNull() & ~F.col("sn").eqNullSafe(F.last("sn", ignorenulls=True).over(before)),
-            "gap": F.coalesce(F.sum(F.col("hd").cast("int")).over(before), F.lit(0)),
-            "run": F.coalesce(F.sum((~F.col("kind").isin("blank", "structural")).cast("int")).over(before), F.lit(0)),
-        }
-    )
-    in_gap = Window.partitionBy("document_name", "gap").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    in_run = Window.partitionBy("document_name", "run").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    r = r.withColumns(
-        {"from_schedule": F.max(F.when(F.col("change"), F.col("start"))).over(in_gap), "from_walk": F.min(F.when(F.col("kind") == "structural", F.col("start"))).over(in_run)}
-    )
-    heads = r.where("hd or first_end").select(
-        "document_name",
-        F.when(F.col("hd"), F.coalesce("from_schedule", "from_walk", "start")).otherwise(F.col("start")).alias("start"),
-        F.when(F.col("hd"), F.col("number")).alias("number"),
-        F.when(F.col("hd"), F.col("title")).alias("title"),
-        F.when(F.col("hd"), F.col("schedule")).alias("schedule"),
-        F.when(F.col("hd"), F.lit("section")).otherwise(F.lit("endnotes")).alias("kind"),
-        (F.col("line_no") + 1).alias("turn"),
-    )
-    none = F.lit(None).cast("string")
-    ends = rows.groupBy("document_name").agg(F.max(F.col("start") + F.length("line")).alias("size"))
-    front = ends.select("document_name", F.lit(0).cast("long").alias("start"), none.alias("number"), none.alias("title"), none.alias("schedule"), F.lit("front").alias("kind"), F.lit(0).alias("turn"))
-    cut = F.lead("start").over(Window.partitionBy("document_name").orderBy("turn"))
-    return front.unionByName(heads).join(ends, "document_name").withColumn("end", F.coalesce(cut, F.col("size"))).drop("size")
-
-
-def merged(parts: DataFrame, texts: DataFrame, least: int = LEAST) -> DataFrame:
-    """Segments with `sections`, those with fewer than `least` visible characters folded into the one before."""
-    doc = Window.partitionBy("document_name").orderBy("turn")
-    own = visible_length(F.substring(F.col("text"), F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int")))
-    p = parts.join(texts, "document_name").withColumn("visible", own).drop("text")
-    opens = (F.row_number().over(doc) == 1) | (F.col("visible") >= least)
-    p = p.withColumn("g", F.sum(opens.cast("int")).over(doc))
-
-    def folded(p: DataFrame, key: str, pick) -> DataFrame:
-        sections = F.transform(F.array_sort(F.collect_list(F.struct("turn", "sections"))), lambda x: x["sections"])
-        return p.groupBy("document_name", key).agg(
-            F.min("start").alias("start"), F.max("end").alias("end"), F.sum("visible").alias("visible"), F.min("turn").alias("turn"), F.flatten(sections).alias("sections"), *[pick(c, "turn").alias(c) for c in ("title", "schedule", "kind")]
-        )
-
-    groups = folded(p.withColumn("sections", F.array_compact(F.array("number"))), "g", F.min_by)
-    n = F.count(F.lit(1)).over(Window.partitionBy("document_name"))
-    groups = groups.withColumn("n", n).withColumn("g", F.when((F.col("g") == 1) & (F.col("visible") < least) & (F.col("n") > 1), 2).otherwise(F.col("g")))
-    return folded(groups, "g", F.max_by).drop("g")
+def _running_form(line: str) -> str:
+    return " ".join(re.sub(r"\d+", "#", line.lower()).split())
+
+
+def _running(pages: list[list[str]], edge: int = 3) -> set[str]:
+    """Forms of lines that stand first or last on many pages of a document."""
+    if len(pages) < 3:
+        return set()
+    n: Counter[str] = Counter()
+    for page in pages:
+        full = [x for x in page if x.strip()]
+        n.update({_running_form(x) for x in [*full[:edge], *full[-edge:]]})
+    enough = max(3, ceil(0.3 * len(pages)))
+    return {form for form, k in n.items() if k >= enough}
+
+
+def _kind(line: str, running: set[str]) -> tuple[str, str, str]:
+    """What a line is; of a heading its number and title too."""
+    if not line.strip():
+        return "blank", "", ""
+    if running and _running_form(line) in running:
+        return "running", "", ""
+    if DOT_LEADER.search(line) or PAGE_NUMBER.search(line):
+        return "filler", "", ""
+    for kind, form in (("endnotes", ENDNOTES), ("schedule", SCHEDULE), ("structural", STRUCTURAL)):
+        if form.search(line):
+            return kind, "", ""
+    if m := HEADING.search(line):
+        number, title = m[1], m[2].strip(" ")
+        if not YEAR.search(number) and not MONTH.search(title) and len(title) <= 200 and title[-1:] not in (",", ";", ":"):
+            return "heading", number, title
+    return "body", "", ""
+
+
+def _key(title: str) -> str:
+    """A title's form in a table of contents."""
+    return " ".join(re.sub(r"[^\S\x1c-\x1f]+\d{1,4}[^\S\x1c-\x1f]*$", "", DOT_LEADER.split(title, maxsplit=1)[0]).split()).lower()
+
+
+def _recurring(heads: list[tuple[int, str, str]]) -> set[int]:
+    """Lines of headings (line, number, title) with a key that a later one of their number has, or has the beginning of, or begins."""
+    found: set[int] = set()
+    same = Counter(number for _, number, _ in heads)
+    later: dict[str, list[str]] = defaultdict(list)
+    for at, number, title in reversed(heads):
+        if same[number] < 2:
+            continue
+        key, keys = _key(title), later[number]
+        i = bisect_left(keys, key)
+        if key and (i < len(keys) and keys[i].startswith(key) or any((j := bisect_left(keys, key[:n])) < len(keys) and keys[j] == key[:n] for n in range(len(key)))):
+            found.add(at)
+        if keys[i : i + 1] != [key]:
+            keys.insert(i, key)
+    return found
+
+
+def _accepted(kinds: list[tuple[str, str, str]]) -> set[int]:
+    """Lines of headings that open a section and aren't of a table of contents."""
+    heads = [(i, number, title) for i, (kind, number, title) in enumerate(kinds) if kind == "heading"]
+    recurs = _recurring(heads)
+    cum = list(accumulate(kind == "body" for kind, _, _ in kinds))
+    following, after = "", [""] * len(kinds)  # the next kind that is no blank or running line
+    for i in range(len(kinds) - 1, -1, -1):
+        after[i] = following
+        if kinds[i][0] not in ("blank", "running"):
+            following = kinds[i][0]
+    ok: set[int] = set()
+    last = True
+    for n, (i, _, _) in enumerate(heads):
+        has_body = (cum[heads[n + 1][0]] if n + 1 < len(heads) else cum[-1]) > cum[i]
+        if has_body and not (i in recurs and (not last or after[i] != "body")):
+            ok.add(i)
+        last = has_body
+    return ok
+
+
+def _segments(pages: list[str]) -> list[list]:
+    """[start, end, turn, sections, title, schedule, kind (front, section or endnotes)] of a document's parts."""
+    split = [p.split("\n") for p in pages]
+    running = _running(split)
+    rows = [x for page in split for x in page]
+    starts = list(accumulate((len(x) + 1 for x in rows), initial=0))
+    kinds = [_kind(x, running) for x in rows]
+    ok = _accepted(kinds)
+    parts: list[list] = [[0, 0, 0, [], None, None, "front"]]
+    opened, schedule, from_schedule, from_walk = False, None, None, None
+    for i, (kind, number, title) in enumerate(kinds):
+        opened = opened or i in ok
+        if kind == "endnotes" and opened:  # the first of them; nothing after is a section
+            parts.append([starts[i], 0, i + 1, [], None, None, "endnotes"])
+            break
+        if kind == "schedule" and opened:
+            named = SCHEDULE.search(rows[i])[1]
+            if named != schedule:
+                from_schedule = starts[i]
+            schedule = named
+        elif kind == "structural":
+            from_walk = starts[i] if from_walk is None else from_walk
+        if i in ok:
+            start = next(x for x in (from_schedule, from_walk, starts[i]) if x is not None)
+            parts.append([start, 0, i + 1, [number], title, schedule, "section"])
+            from_schedule = None
+        if kind not in ("blank", "structural"):
+            from_walk = None
+    for part, end in zip(parts, [*(p[0] for p in parts[1:]), starts[-1] - 1], strict=True):
+        part[1] = end
+    return parts
+
+
+def _merged(parts: list[list], text: str, least: int) -> list[list]:
+    """Parts with those of fewer than `least` visible characters folded into the one before, a first one into the next."""
+    out: list[list] = []
+    seen: list[int] = []
+    for p in parts:
+        visible = sum(map(len, text[p[0] : p[1]].split()))
+        if out and visible < least:
+            out[-1][1] = max(out[-1][1], p[1])
+            out[-1][0] = min(out[-1][0], p[0])
+            out[-1][3] = out[-1][3] + p[3]
+            seen[-1] += visible
+        else:
+            out.append(list(p))
+            seen.append(visible)
+    if len(out) > 1 and seen[0] < least:
+        a, b = out[:2]
+        out[:2] = [[min(a[0], b[0]), max(a[1], b[1]), a[2], a[3] + b[3], *b[4:]]]
+    return out
 
 
 def _cut_after(text: str, at: int, limit: int) -> int:
@@ -201,37 +206,45 @@ def chunks(pages: DataFrame, most: int = MOST, least: int = LEAST) -> DataFrame:
     if most <= least:
         raise ValueError("max_chunk_size must be greater than min_chunk_size")
     ship(pages.sparkSession)
-    pages = pages.where(F.col("text").isNotNull()).select("document_name", "page_number", "text")
+    pages = pages.where(F.col("text").isNotNull() & F.col("document_name").isNotNull()).select("document_name", "page_number", "text")
     by_page = F.array_sort(F.collect_list(F.struct("page_number", "text")))
-    docs = pages.groupBy("document_name").agg(by_page.alias("p")).select("document_name", F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("text"), F.transform("p", lambda x: x["page_number"].cast("int")).alias("numbers"), F.transform("p", lambda x: F.length(x["text"]).cast("long")).alias("sizes"))
-    docs = docs.where(visible_length(F.col("text")) > 0)
-    segs = merged(segments(accepted(classified(pages))), docs.select("document_name", "text"), least)
-    rows = segs.join(docs, "document_name").select(
-        "document_name", "turn", "start", F.substring(F.col("text"), F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int")).alias("text"), "sections", "title", "schedule", "kind", "numbers", "sizes"
-    )
-    fields = [("document_name", pa.string()), ("turn", pa.int64()), ("piece", pa.int32()), ("pieces", pa.int32()), ("text", pa.string()), ("start_char", pa.int64()), ("end_char", pa.int64()), ("page_numbers", pa.list_(pa.int32())), ("sections", pa.list_(pa.string())), ("title", pa.string()), ("schedule", pa.string()), ("kind", pa.string())]
-    schema = pa.schema(fields)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    docs = pages.groupBy("document_name").agg(by_page.alias("p")).select("document_name", F.transform("p", lambda x: x["page_number"].cast("int")).alias("numbers"), F.transform("p", lambda x: x["text"]).alias("texts"))
+    fields = [("document_name", pa.string()), ("chunk_no", pa.int32()), ("piece", pa.int32()), ("pieces", pa.int32()), ("text", pa.string()), ("start_char", pa.int64()), ("end_char", pa.int64()), ("page_numbers", pa.list_(pa.int32())), ("sections", pa.list_(pa.string())), ("title", pa.string()), ("schedule", pa.string()), ("kind", pa.string())]
+    names = [n for n, _ in fields]
+
+    def cut(name: str, numbers: list[int | None], texts: list[str]) -> list[tuple]:
+        text, out = "\n".join(texts), []
+        page_starts = list(accumulate((len(t) + 1 for t in texts), initial=0))
+        for start, end, turn, sections, title, schedule, kind in _merged(_segments(texts), text, least) if text.strip() else ():
+            part = text[start:end]
+            ranges = _pieces(part, most)
+            for i, (a, b) in enumerate(ranges, 1):
+                piece = part[a:b]
+                a += len(piece) - len(piece.lstrip())
+                piece = piece.strip()
+                if not piece:
+                    continue
+                lo, hi = start + a, start + a + len(piece)
+                first, last = bisect_right(page_starts, lo) - 1, bisect_right(page_starts, hi - 1) - 1
+                out.append((lo, turn, i, len(ranges), piece, hi, numbers[first : last + 1], sections, title, schedule, kind))
+        out.sort(key=lambda x: x[:3])
+        return [(name, no, i, n, piece, lo, hi, *rest) for no, (lo, _, i, n, piece, hi, *rest) in enumerate(out)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: list[tuple] = []
+        size = 0
+        batch_of = lambda: pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(zip(*made, strict=True), fields, strict=True)], names)
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                page_starts = [0]
-                for n in r["sizes"]:
-                    page_starts.append(page_starts[-1] + n + 1)
-                ranges = _pieces(r["text"], most)
-                for i, (a, b) in enumerate(ranges, 1):
-                    piece = r["text"][a:b]
-                    a += len(piece) - len(piece.lstrip())
-                    piece = piece.strip()
-                    if not piece:
-                        continue
-                    lo, hi = r["start"] + a, r["start"] + a + len(piece)
-                    first, last = bisect_right(page_starts, lo) - 1, bisect_right(page_starts, hi - 1) - 1
-                    out.append({"document_name": r["document_name"], "turn": r["turn"], "piece": i, "pieces": len(ranges), "text": piece, "start_char": lo, "end_char": hi, "page_numbers": r["numbers"][first : last + 1], **{k: r[k] for k in ("sections", "title", "schedule", "kind")}})
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
-
-    done = rows.mapInArrow(cut, "document_name string, turn long, piece int, pieces int, text string, start_char long, end_char long, page_numbers array<int>, sections array<string>, title string, schedule string, kind string")
+            for name, numbers, texts in zip(*batch.columns, strict=True):
+                made += cut(name.as_py(), numbers.as_py(), rows := texts.as_py())
+                size += sum(map(len, rows))
+                if made and size > OUT_CHARS:
+                    yield batch_of()
+                    made, size = [], 0
+        if made:
+            yield batch_of()
+
+    done = docs.mapInArrow(run, "document_name string, chunk_no int, piece int, pieces int, text string, start_char long, end_char long, page_numbers array<int>, sections array<string>, title string, schedule string, kind string")
     section = F.get("sections", F.lit(0))
     kind = (
         F.when((F.col("kind") != "section") & section.isNull(), "other")
@@ -239,8 +252,7 @@ def chunks(pages: DataFrame, most: int = MOST, least: int = LEAST) -> DataFrame:
         .when(F.regexp_like(F.coalesce("title", F.lit("")), F.lit(DEFINITION_TITLE)), "definition")
         .otherwise("section")
     )
-    no = F.row_number().over(Window.partitionBy("document_name").orderBy("start_char", "turn", "piece")) - 1
-    return done.withColumn("chunk_no", no).select(
+    return done.select(
         F.concat("document_name", F.lit("_chunk_"), "chunk_no").alias("chunk_id"),
         "text",
         kind.alias("chunk_type"),
