@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernlex.functions.sizes import broadcast_if_small
+from quernlex.functions.sizes import SMALL_ROWS, broadcast_if_small
 from quernlex.functions.text import YEAR, normal_act, same_act, term_pattern
 from quernlex.operators import extraction
 from quernlex.session import written
@@ -21,16 +21,27 @@ def own_sections(upper: bool = True) -> Column:
     return F.filter(F.transform(own, lambda s: F.upper(s)) if upper else own, lambda s: s.isNotNull() & (s != ""))
 
 
-def first_chunks(index: DataFrame) -> DataFrame:
-    """document_name, schedule, section, ordinal: the first chunk of each provision; section null for a schedule or document."""
+def _among(rows: DataFrame, keys: DataFrame | None) -> DataFrame:
+    """rows with one of these keys (schedule, section), or all."""
+    if keys is None:
+        return rows
+    some = broadcast_if_small(keys.select(F.col("schedule").alias("_s"), F.col("section").alias("_n")).distinct())
+    return rows.join(some, F.col("schedule").eqNullSafe(F.col("_s")) & F.col("section").eqNullSafe(F.col("_n")), "left_semi")
+
+
+def first_chunks(index: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """document_name, schedule, section, ordinal: the first chunk of each provision; section null for a schedule or document.
+
+    among: rows with the schedules and sections that are asked for, if not all are.
+    """
     keys = F.concat(F.array(F.lit(None).cast("string")), own_sections())
     rows = index.select("document_name", "schedule", "ordinal", F.explode(keys).alias("section"))
-    return rows.groupBy("document_name", "schedule", "section").agg(F.min("ordinal").alias("ordinal"))
+    return _among(rows, among).groupBy("document_name", "schedule", "section").agg(F.min("ordinal").alias("ordinal"))
 
 
 def _resolved(refs: DataFrame, index: DataFrame) -> DataFrame:
     """refs (document_name, schedule, section, ...) with `target`, the ordinal they point to, or null."""
-    first = first_chunks(index).select(F.col("document_name").alias("_d"), F.col("schedule").alias("_s"), F.col("section").alias("_n"), F.col("ordinal").alias("target"))
+    first = first_chunks(index, refs).select(F.col("document_name").alias("_d"), F.col("schedule").alias("_s"), F.col("section").alias("_n"), F.col("ordinal").alias("target"))
     on = (F.col("document_name") == F.col("_d")) & F.col("schedule").eqNullSafe(F.col("_s")) & F.col("section").eqNullSafe(F.col("_n"))
     return refs.join(first, on, "left").drop("_d", "_s", "_n")
 
@@ -42,7 +53,7 @@ def expand(results: DataFrame, queries: DataFrame, index: DataFrame, most_refere
     order of rank and mention; then definitions of terms in the query or the results. What is
     there already isn't added again. The score is half the least retrieved.
     """
-    hits = results.select("query_id", "ordinal", "rank").join(index.select("ordinal", "chunk_id", "document_name", "text", F.col("sections"), "section_number"), "ordinal")
+    hits = written(broadcast_if_small(results.select("query_id", "ordinal", "rank")).join(index.select("ordinal", "chunk_id", "document_name", "text", F.col("sections"), "section_number"), "ordinal"))
     refs = extraction.references(hits.select("query_id", "rank", "chunk_id", "document_name", own_sections().alias("own"), "text"))
     refs = refs.where("act is null and (section is null or not array_contains(own, section))")
     label = F.when(F.col("section").isNotNull(), F.concat(F.lit("s "), "section")).otherwise(F.concat(F.lit("Schedule "), "schedule"))
@@ -53,8 +64,10 @@ def expand(results: DataFrame, queries: DataFrame, index: DataFrame, most_refere
     at = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "refpos"))
     cited = cited.withColumn("n", at).where(F.col("n") <= most_references).select("query_id", "ordinal", F.lit("cross_reference").alias("expansion"), "expansion_reason", "n")
 
-    # only documents among the results can define anything here
-    among = index.select("ordinal", "document_name", "text").join(hits.select("document_name").distinct(), "document_name", "left_semi")
+    # only documents among the results can define anything here; where these are many, terms travel in place of all texts
+    among, some = index.select("ordinal", "document_name", "text"), hits.select("document_name").distinct()
+    if some.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+        among = among.join(F.broadcast(some), "document_name", "left_semi")
     terms = extraction.definitions(among, ["ordinal", "document_name"])
     terms = terms.withColumn("pattern", term_pattern(F.col("term")))
     bodies = hits.groupBy("query_id", "document_name").agg(F.min("rank").alias("seen"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), " ").alias("body"))
@@ -62,9 +75,10 @@ def expand(results: DataFrame, queries: DataFrame, index: DataFrame, most_refere
     low = F.lower("term")
     near = F.contains(F.lower("body"), low) | F.contains(F.lower("question"), low)
     found = asked.join(terms, "document_name").where(near).withColumn("asked", F.expr("question rlike pattern")).where(F.col("asked") | F.expr("body rlike pattern"))
-    pointed = _resolved(found.withColumns({"schedule": F.col("target_schedule"), "section": F.upper("target_section")}), index)
-    pointing = F.col("target_section").isNotNull() | F.col("target_schedule").isNotNull()
-    found = pointed.withColumn("to", F.when(pointing, F.coalesce("target", "ordinal")).otherwise(F.col("ordinal")))
+    found = written(found.select("query_id", "document_name", "ordinal", "defpos", "term", "asked", "seen", F.col("target_schedule").alias("schedule"), F.upper("target_section").alias("section")))
+    pointing = F.col("section").isNotNull() | F.col("schedule").isNotNull()
+    pointed = _resolved(found.where(pointing), index).withColumn("to", F.coalesce("target", "ordinal")).drop("target")
+    found = pointed.unionByName(found.where(~pointing).withColumn("to", F.col("ordinal")))
     there = results.select("query_id", F.col("ordinal").alias("to")).union(cited.select("query_id", "ordinal"))
     found = found.join(there, ["query_id", "to"], "left_anti")
     order = F.struct((~F.col("asked")).alias("a"), (-F.size(F.split("term", " "))).alias("b"), (-F.length("term")).alias("c"), F.col("seen").alias("d"), F.col("ordinal").alias("e"), F.col("defpos").alias("f"), F.col("term").alias("term"))
@@ -80,16 +94,13 @@ def expand(results: DataFrame, queries: DataFrame, index: DataFrame, most_refere
 def provision_keys(chunks: DataFrame, among: DataFrame | None = None) -> DataFrame:
     """document_name, schedule, section: what can be cited; clauses of a schedule are no sections.
 
-    among: distinct (schedule, section), if only keys with these are asked for.
+    among: rows with the schedules and sections that are asked for, if not all are.
     """
     keyed = F.coalesce("schedule", F.lit("")) != ""
     none = F.lit(None).cast("string")
     keys = F.when(keyed, F.array(F.struct(F.upper("schedule").alias("schedule"), none.alias("section")))).otherwise(F.transform(own_sections(), lambda s: F.struct(none.alias("schedule"), s.alias("section"))))
     rows = chunks.select("document_name", F.explode(keys).alias("x")).select("document_name", "x.*")
-    if among is not None:
-        some = broadcast_if_small(among.select(F.col("schedule").alias("_s"), F.col("section").alias("_n")))
-        rows = rows.join(some, F.col("schedule").eqNullSafe(F.col("_s")) & F.col("section").eqNullSafe(F.col("_n")), "left_semi")
-    return rows.distinct()
+    return _among(rows, among).distinct()
 
 
 def document_titles(chunks: DataFrame) -> DataFrame:
@@ -112,7 +123,7 @@ def verify(answers: DataFrame, retrieved: DataFrame, corpus: DataFrame) -> DataF
     titles = document_titles(corpus)
     # what is cited is looked up once for all answers: a document's keys stand under its title, so nothing multiplies
     wanted = refs.select("named", "schedule", "section").distinct()
-    keys = provision_keys(corpus, wanted.select("schedule", "section").distinct()).join(titles, "document_name", "left")
+    keys = provision_keys(corpus, wanted).join(titles, "document_name", "left")
     keys = written(keys.select("title", F.col("schedule").alias("ks"), F.col("section").alias("kn")).distinct())
     on_key = F.col("schedule").eqNullSafe(F.col("ks")) & F.col("section").eqNullSafe(F.col("kn"))
     acts = wanted.select("named").where("named is not null").distinct()
@@ -123,7 +134,7 @@ def verify(answers: DataFrame, retrieved: DataFrame, corpus: DataFrame) -> DataF
     bound = known.join(keys, on_key & (F.col("kt") == F.col("title")), "left_semi").select("named", "schedule", "section")
     there = free.unionByName(bound).distinct().select(F.col("named").alias("tn"), F.col("schedule").alias("ts"), F.col("section").alias("tc"), F.lit(True).alias("there"))
     on_all = F.col("named").eqNullSafe(F.col("tn")) & F.col("schedule").eqNullSafe(F.col("ts")) & F.col("section").eqNullSafe(F.col("tc"))
-    own = _keys_by_answer(retrieved, wanted.select("schedule", "section").distinct()).join(titles, "document_name", "left")
+    own = _keys_by_answer(retrieved, wanted).join(titles, "document_name", "left")
     own = own.groupBy(F.col("answer_id").alias("ra"), F.col("schedule").alias("ks"), F.col("section").alias("kn")).agg(F.collect_set("title").alias("titles"))
     out = refs.join(own, (F.col("answer_id") == F.col("ra")) & on_key, "left").join(broadcast_if_small(there), on_all, "left")
     here = F.col("titles").isNotNull() & (F.col("named").isNull() | F.exists("titles", lambda t: same_act(F.col("named"), t)))
